@@ -73,6 +73,13 @@ def first_number(c: Column | str) -> Column:
     return F.nullif(F.regexp_extract(_col(c), r"(\d+\.?\d*)", 1), F.lit("")).try_cast("double")
 
 
+def unpivot(df: DataFrame, values: Mapping[str, Column], *kept: Column | str) -> DataFrame:
+    """Rows ``(kept..., column, value)``: grouped by ``column``, one short aggregate
+    serves hundreds of columns where one wide aggregate would outgrow codegen."""
+    return df.select(*kept, F.inline(F.array(*[
+        F.struct(F.lit(name).alias("column"), v.alias("value")) for name, v in values.items()])))
+
+
 def _digest(keys: list[Column | str], seed: int | str) -> Column:
     return F.md5(F.concat_ws("|", *[_col(k).cast("string") for k in keys], F.lit(str(seed))))
 

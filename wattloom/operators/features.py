@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattloom import constants as K
-from wattloom.functions import as_number, clip
+from wattloom.functions import as_number, clip, unpivot
 from wattloom.operators.clean import align_schema, numeric_columns
 from wattloom.operators.quantiles import exact_percentiles
-from wattloom.session import chunks, durable, small_side
+from wattloom.session import durable, small_side
 
 MISSING = "MISSING"
 LITERAL_LEVELS = 100
@@ -26,10 +26,9 @@ def level_counts(df: DataFrame, columns: Sequence[str], exact_below: int = 50) -
     A sketch screens all columns in one scan; only columns with few levels are
     counted exactly, over (column, value) pairs combined before the shuffle.
     """
-    out: dict[str, int] = {}
-    for names in chunks(columns, 100):
-        row = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(c) for c in names]).first()
-        out.update({c: row[c] for c in names})
+    long = unpivot(df, {c: F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.col(f"`{c}`"))) for c in columns})
+    out = {r.column: r.n for r in long.groupBy("column")
+           .agg(F.approx_count_distinct("value").alias("n")).collect()}
     few = [c for c in columns if out[c] <= exact_below]
     if few:
         exact = {r.column: r.n for r in column_levels(df, few).groupBy("column")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom import constants as K
-from wattloom.functions import as_number, clip, code_map, default_number
+from wattloom.functions import as_number, clip, code_map, default_number, unpivot
 
 _INPUT = "_ph_"
 
@@ -171,8 +171,6 @@ def paired_correlation(df: DataFrame, a: str, b: str, min_pairs: int = 30) -> Da
 
 def feature_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean and valid count per feature, one scan: ``(feature, mean, n_valid)``."""
-    row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns],
-                 *[F.count(c).alias(f"n_{c}") for c in columns])
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"m_{c}").alias("mean"),
-                 F.col(f"n_{c}").alias("n_valid")) for c in columns])))
+    return (unpivot(df, {c: F.col(c) for c in columns}).groupBy("column")
+            .agg(F.avg("value").alias("mean"), F.count("value").alias("n_valid"))
+            .withColumnRenamed("column", "feature"))

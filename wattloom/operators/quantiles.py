@@ -90,13 +90,20 @@ def _search(df: DataFrame, open_: list[_Bracket], found: dict, accuracy: int) ->
 
 
 def _finish(df: DataFrame, open_: list[_Bracket], found: dict) -> None:
-    """Read the ranks of brackets whose counted size is small."""
-    row = df.agg(*[
-        F.get(F.sort_array(F.collect_list(b.value())), F.lit(k - b.below)).alias(f"v{i}_{k}")
-        for i, b in enumerate(open_) for k in b.ranks]).first()
-    for i, b in enumerate(open_):
-        for k in b.ranks:
-            found[b.name][k] = row[f"v{i}_{k}"]
+    """Read the ranks of brackets whose counted size is small.
+
+    The values are unpivoted to (bracket, value), so one short grouped aggregate
+    serves any number of columns.
+    """
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), b.value().alias("v")) for i, b in enumerate(open_)])))
+    wanted = F.array(*[F.array(*[F.lit(k - b.below) for k in b.ranks]) for b in open_])
+    picked = (long.filter(F.col("v").isNotNull()).groupBy("i")
+              .agg(F.sort_array(F.collect_list("v")).alias("s"))
+              .select("i", F.transform(F.get(wanted, F.col("i")), lambda k: F.get(F.col("s"), k)).alias("at")))
+    for r in picked.collect():
+        b = open_[r.i]
+        found[b.name].update(zip(b.ranks, r["at"]))
 
 
 def _small_first(open_: list[_Bracket], direct_rows: int) -> tuple[list[_Bracket], list[_Bracket]]:

@@ -4,58 +4,41 @@ grouped or global partial aggregates; ranking works on one row per feature."""
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom import constants as K
-from wattloom.functions import as_number
+from wattloom.functions import as_number, unpivot
 from wattloom.operators.quantiles import exact_percentiles
-from wattloom.session import chunks
 
 
 def column_quality(df: DataFrame, columns: Sequence[str], target: str | None = None) -> DataFrame:
     """``column, n, n_valid, sd, varies`` per column, one scan."""
     rows = df if target is None else df.filter(F.col(target).isNotNull())
-    x = {c: as_number(c) for c in columns}
-    row = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count(x[c]).alias(f"v_{c}") for c in columns],
-                   *[F.stddev_samp(x[c]).alias(f"s_{c}") for c in columns],
-                   *[(F.min(x[c]) < F.max(x[c])).alias(f"d_{c}") for c in columns])
-    return row.select("n", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"v_{c}").alias("n_valid"), F.col(f"s_{c}").alias("sd"),
-                 F.coalesce(F.col(f"d_{c}"), F.lit(False)).alias("varies")) for c in columns])))
+    long = unpivot(rows, {c: as_number(c) for c in columns})
+    return long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("n_valid"), F.stddev_samp("value").alias("sd"),
+        F.coalesce(F.min("value") < F.max("value"), F.lit(False)).alias("varies"))
 
 
 def usable_columns(df: DataFrame, columns: Sequence[str], min_valid: float = 0.0) -> list[str]:
     """Columns that vary and have more than ``min_valid`` of their rows present."""
-    good = set()
-    for names in chunks(columns, 100):
-        good |= {r.column for r in column_quality(df, names).collect()
-                 if r.varies and r.n_valid > min_valid * r.n}
+    good = {r.column for r in column_quality(df, columns).collect()
+            if r.varies and r.n_valid > min_valid * r.n}
     return [c for c in columns if c in good]
 
 
 def absolute_correlation(df: DataFrame, columns: Sequence[str], target: str,
                          min_rows: int = 0) -> DataFrame:
     """``column, abs_r, n`` against the target over complete pairs, one scan."""
-    y = as_number(target)
-    x = {c: as_number(c) for c in columns}
-    row = df.agg(*[F.abs(F.corr(x[c], y)).alias(f"r_{c}") for c in columns],
-                 *[F.count_if(x[c].isNotNull() & y.isNotNull()).alias(f"n_{c}") for c in columns])
-    out = row.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"r_{c}").alias("abs_r"), F.col(f"n_{c}").alias("n"))
-        for c in columns])))
+    long = unpivot(df, {c: as_number(c) for c in columns}, as_number(target).alias("_y"))
+    both = F.col("value").isNotNull() & F.col("_y").isNotNull()
+    out = long.groupBy("column").agg(
+        F.abs(F.corr("value", "_y")).alias("abs_r"), F.count_if(both).alias("n"))
     return out.withColumn("abs_r", F.when((F.col("n") > min_rows) & ~F.isnan("abs_r"), F.col("abs_r")))
 
 
-def _bin(name: str, edges: Sequence[float]):
-    v = F.col(f"`{name}`").cast("double")
-    index = reduce(add, [(v > F.lit(e)).cast("int") for e in sorted(set(edges))], F.lit(0))
-    return F.when(v.isNotNull(), index)
-
-
 def binned_mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins: int = 10) -> DataFrame:
     """Mutual information (nats) of each column with the target on equal-frequency
     bins of all rows: ``column, mi``. Counts are combined before the shuffle, so it
@@ -63,9 +46,16 @@ def binned_mutual_information(df: DataFrame, columns: Sequence[str], target: str
     probs = [i / bins for i in range(1, bins)]
     names = [*columns, target]
     edges = exact_percentiles(df, {c: c for c in names}, probs)
-    edges = {c: [e for e in v if e is not None] for c, v in edges.items()}
-    long = df.select(_bin(target, edges[target]).alias("by"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), _bin(c, edges[c]).alias("bx")) for c in columns])))
+    edges = [sorted({e for e in edges[c] if e is not None}) for c in names]
+    table = F.array(*[F.array(*[F.lit(e) for e in es]).cast("array<double>") for es in edges])
+
+    def bin_of(v, i):
+        return F.when(v.isNotNull(), F.size(F.filter(F.get(table, i), lambda e: e < v)))
+
+    y = F.col(target).cast("double")
+    long = unpivot(df, {c: F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v"))
+                        for i, c in enumerate(columns)}, bin_of(y, F.lit(len(columns))).alias("by"))
+    long = long.select("column", "by", bin_of(F.col("value.v"), F.col("value.i")).alias("bx"))
     cells = (long.filter(F.col("bx").isNotNull() & F.col("by").isNotNull())
              .groupBy("column", "bx", "by").agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy("column")

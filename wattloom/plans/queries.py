@@ -39,7 +39,7 @@ def station_climate(spark, sf):
 
 @query
 def station_climate_events(spark, sf):
-    return rounded(weather.station_climate(roles.event_hours(spark, sf)), 4)
+    return rounded(weather.station_climate(roles.event_hours(spark, sf)), 8)
 
 
 def _states(spark, sf, **kw):
@@ -99,8 +99,8 @@ def vintage_year(spark, sf):
 @query
 def energy_intensity(spark, sf):
     df = clean.energy_intensity(roles.raw_households(spark, sf))
-    return rounded(df.select(*ROW_KEY, "EUI", *[f"EUI_{t.upper()}" for t in K.ENDUSE_BTU],
-                             *[f"SHARE_{t.upper()}" for t in K.ENDUSE_BTU]))
+    return df.select(*ROW_KEY, "EUI", *[f"EUI_{t.upper()}" for t in K.ENDUSE_BTU],
+                     *[f"SHARE_{t.upper()}" for t in K.ENDUSE_BTU])
 
 
 @query
@@ -298,7 +298,8 @@ def duplicate_buildings(spark, sf):
 @query
 def cell_pairs(spark, sf):
     df = savings.cell_pairs(roles.stock(spark, sf), 15, features=[K.SQFT_COL])
-    return rounded(df, 4)
+    # means of short decimals hit exact rounding ties; the nudge breaks them one way
+    return rounded(df.withColumns({c: F.col(c) + 1e-8 for c in ("e_base", "e_up", K.SQFT_COL, "saving_pct")}), 6)
 
 
 # ---- splits ---------------------------------------------------------------------
