@@ -15,34 +15,45 @@ from wattloom.functions import as_number, clip, code_map, default_number, unpivo
 _INPUT = "_ph_"
 
 
+_RAW = (K.SQFT_COL, "STORIES", K.HDD_COL, K.CDD_COL, "NHSLDMEM", K.YEAR_BUILT_COL, "WINDOWS", "WALLTYPE",
+        "TYPEGLASS", "ADQINSUL", "DRAFTY", "FUELHEAT", "EQUIPM", "HEATPUMP", "AIRCOND", "TYPEAC")
+
+
 def _inputs(df: DataFrame) -> DataFrame:
+    """Numbers first, codes and bounds second: short stages keep the generated
+    methods within what the JIT compiler accepts."""
+    present = [c for c in _RAW if c in df.columns]
+    df = df.withColumns({f"{_INPUT}raw_{c}": as_number(c) for c in present})
+
+    def raw(name: str):
+        return F.col(f"{_INPUT}raw_{name}")
+
     def number(name: str, default: float):
-        return default_number(df, name, default)
+        return F.coalesce(raw(name), F.lit(default)) if name in present else F.lit(default)
 
     def coded(name: str, table: dict, default: float):
-        return code_map(as_number(name), table, default) if name in df.columns else F.lit(default)
-
-    heat_pump_flag = (F.coalesce(as_number("HEATPUMP") == 1, F.lit(False))
-                      if "HEATPUMP" in df.columns else F.lit(False))
-    cols = {
-        "area": clip(number(K.SQFT_COL, 2000.0), lo=50.0),
-        "stories": clip(number("STORIES", 1.5), 1.0, 6.0),
-        "hdd": clip(number(K.HDD_COL, 4500.0), lo=0.0),
-        "cdd": clip(number(K.CDD_COL, 1200.0), lo=0.0),
-        "people": clip(number("NHSLDMEM", 2.5), lo=1.0),
+        return code_map(raw(name), table, default) if name in present else F.lit(default)
+
+    df = df.withColumns({_INPUT + k: v for k, v in {
+        "area": F.greatest(number(K.SQFT_COL, 2000.0), F.lit(50.0)),
+        "stories": F.least(F.greatest(number("STORIES", 1.5), F.lit(1.0)), F.lit(6.0)),
+        "hdd": F.greatest(number(K.HDD_COL, 4500.0), F.lit(0.0)),
+        "cdd": F.greatest(number(K.CDD_COL, 1200.0), F.lit(0.0)),
+        "people": F.greatest(number("NHSLDMEM", 2.5), F.lit(1.0)),
         "year": number(K.YEAR_BUILT_COL, 1980.0),
-        "windows": clip(number("WINDOWS", 5.0), 1.0, 12.0),
-        "wall_u": coded("WALLTYPE", K.WALL_U, 0.22),
-        "glass_u": coded("TYPEGLASS", K.GLASS_U, 0.65),
-        "insul": coded("ADQINSUL", K.INSULATION_FACTOR, 1.0),
-        "ach50": coded("DRAFTY", K.ACH50_BY_DRAFTINESS, 9.0),
+        "windows": F.least(F.greatest(number("WINDOWS", 5.0), F.lit(1.0)), F.lit(12.0)),
         "fuel": number("FUELHEAT", 1.0),
         "equip": number("EQUIPM", 3.0),
-        "hp_flag": heat_pump_flag,
+        "hp_flag": number("HEATPUMP", 0.0) == 1,
         "ac": number("AIRCOND", 1.0),
         "ac_type": number("TYPEAC", 2.0),
-    }
-    return df.withColumns({_INPUT + k: v for k, v in cols.items()})
+    }.items()})
+    return df.withColumns({_INPUT + k: v for k, v in {
+        "wall_u": coded("WALLTYPE", K.WALL_U, 0.22),
+        "glass_u": coded("TYPEGLASS", K.GLASS_U, 0.65),
+        "insul": coded("ADQINSUL", K.INSULATION_FACTOR, 1.0),
+        "ach50": coded("DRAFTY", K.ACH50_BY_DRAFTINESS, 9.0),
+    }.items()})
 
 
 def add_physics(df: DataFrame, ceiling_ft: float = 9.0, strict: bool = False) -> DataFrame:

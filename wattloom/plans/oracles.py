@@ -58,7 +58,7 @@ st as (select station_number, sum(greatest(18.3::double - t, 0) / 24) "TMY3_HDD6
   avg(t) "TMY3_TDB_mean", stddev_samp(t) "TMY3_TDB_std", max(t) "TMY3_TDB_max", count(*) "TMY3_n_hours" from h group by 1),
 s2 as (select *, "TMY3_HDD65" / greatest("TMY3_CDD65", 1) "TMY3_HDD_CDD_ratio",
   least(greatest("TMY3_HDD65" / 30, 0), 12) "TMY3_heating_months", least(greatest("TMY3_CDD65" / 30, 0), 12) "TMY3_cooling_months" from st)
-select station_number, {r([*FEATURES[:2], *SERIES[:3], *FEATURES[14:17]], 8)}, "TMY3_n_hours" from s2"""
+select station_number, {', '.join(f'round("{c}" + 1e-9::double, 6) "{c}"' for c in [*FEATURES[:2], *SERIES[:3], *FEATURES[14:17]])}, "TMY3_n_hours" from s2"""
 
 
 def state_sql(class_weight: str) -> str:
@@ -507,3 +507,13 @@ ORACLES["benchmark_table"] = f"""with {PRED}, m as (select 'total_btu_' || split
 select metric, round(r2, 6) r2, 0.85::double target, case when r2 >= 0.85 then 'meets internal benchmark' else 'below internal benchmark' end status from m"""
 ORACLES["zone_summary"] = f"""with {PRED}, m as (select o_orderpriority, 1 - avg((ly - lp) * (ly - lp)) / var_pop(ly) r2, count(*) n from pred group by 1)
 select round(avg(r2), 6) mean_r2, round(min(r2), 6) min_r2, sum(n)::bigint n_test from m"""
+
+# ---- conservation ---------------------------------------------------------------------------------
+
+ORACLES["share_conservation"] = f"""with {HH},
+c as (select *, least(greatest("SHARE_HEATING" * 8, 0), 1) a, least(greatest("SHARE_COOLING" * 9, 0), 1) b,
+  least(greatest("SHARE_DHW" * 4 - 0.02::double, 0), 1) d from hh),
+s as (select l_linenumber, "TOTALBTU" t, "TOTSQFT_EN" q, a / greatest(a + b + d, 1) a, b / greatest(a + b + d, 1) b, d / greatest(a + b + d, 1) d from c)
+select l_linenumber line, count(*) n, round(avg(a), 4) share_heating, round(avg(b), 4) share_cooling, round(avg(d), 4) share_dhw,
+round(avg(greatest(1 - a - b - d, 0)), 4) share_other, round(avg(a * t), 4) btu_heating, round(avg(b * t), 4) btu_cooling,
+round(avg(d * t), 4) btu_dhw, round(avg(a * t / greatest(q, 1)), 4) eui_heating from s group by 1"""

@@ -111,6 +111,45 @@ def stock(spark: SparkSession, sf: str) -> DataFrame:
     ).filter(c(K.STOCK_ENERGY_COL).isNotNull())
 
 
+# features of the model queries: raw codes and the physics columns that pass the guard
+MODEL_FEATURES = [K.SQFT_COL, "STORIES", "WALLTYPE", "TYPEGLASS", "ADQINSUL", "DRAFTY", "FUELHEAT", "EQUIPM",
+                  "NHSLDMEM", K.HDD_COL, "PH_UA_total", "PH_heating_load", "PH_cooling_load", "PH_dhw_load",
+                  "PH_heating_eff", "PH_occ_x_sqft"]
+MODEL_TARGETS = [K.TOTAL_COL, K.EUI_COL, *[f"EUI_{t.upper()}" for t in K.ENDUSE_BTU],
+                 *[f"SHARE_{t.upper()}" for t in K.ENDUSE_BTU]]
+
+
+def model_households(spark: SparkSession, sf: str) -> DataFrame:
+    """Households whose energy follows from their physics, with a spread taken from
+    the price column; split, normalised weight and log target attached."""
+    from wattloom.operators import clean, split
+    from wattloom.operators.physics import add_physics
+    c = F.col
+    raw = roles_without_targets(households(spark, sf).withColumn("_spread", 0.6 + c(K.TOTAL_COL) / 130_000))
+    df = add_physics(raw)
+    heat = c("PH_heating_load") / c("PH_heating_eff")
+    cool = F.when(c("AIRCOND") == 1, c("PH_cooling_load") / F.greatest(c("PH_cooling_eff"), F.lit(0.1))).otherwise(0.0)
+    dhw, base = c("PH_dhw_load") / c("PH_dhw_eff"), c("PH_base_load")
+    df = df.withColumns({K.ENDUSE_BTU["heating"]: heat * c("_spread"), K.ENDUSE_BTU["cooling"]: cool * c("_spread"),
+                         K.ENDUSE_BTU["dhw"]: dhw * c("_spread"), K.ENDUSE_BTU["lighting"]: base * 0.3 * c("_spread"),
+                         K.TOTAL_COL: (heat + cool + dhw + base) * c("_spread")}).drop("_spread")
+    df = clean.normalised_weights(split.hash_split(clean.energy_intensity(df), ROW_KEY))
+    return df.withColumn("y_log", clean.log_target(K.TOTAL_COL))
+
+
+def roles_without_targets(df: DataFrame) -> DataFrame:
+    return df.drop(*MODEL_TARGETS, *K.ENDUSE_BTU.values())
+
+
+def encoded_households(spark: SparkSession, sf: str):
+    """(encoder fitted on train, encoded frame with keys, split, weight and targets)."""
+    from wattloom.operators.features import FeatureEncoder
+    df = model_households(spark, sf)
+    encoder = FeatureEncoder(MODEL_FEATURES, keep=[*ROW_KEY, "split", "w", "y_log", *MODEL_TARGETS]).fit(
+        df.filter("split = 'train'"))
+    return encoder, encoder.transform(df)
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Truth and a noisy prediction per order, with weight, split and log scale."""
     from wattloom.operators.split import hash_split
