@@ -155,17 +155,14 @@ def savings_teacher_cells(spark, sf):
 def model_scenarios(spark, sf):
     """Scenarios scored by the fitted model: student layer of the combined report."""
     encoder, df, model = _energy_model(spark, sf, tasks=(), quantiles=False, calibrate=False)
-    encoder.keep = [*ROW_KEY, "scenario", "_base"]
 
     def scorer(frame):
-        carried = [c for c in frame.columns if c not in MODEL_FEATURES]
-        encoder.keep = carried
+        encoder.keep = [c for c in frame.columns if c not in MODEL_FEATURES]
         return model.predict_total(encoder.transform(frame))
 
     raw = roles.model_households(spark, sf).filter("split = 'test'")
     raw = raw.drop(*[c for c in raw.columns if c.startswith("PH_")])
-    table = scenarios.run_scenarios(raw, scorer, savings.measured_deltas(roles.stock(spark, sf), columns=DRIVER_COLUMNS),
-                                    physics_only=False)
+    table = scenarios.run_scenarios(raw, scorer, savings.measured_deltas(roles.stock(spark, sf), columns=DRIVER_COLUMNS))
     return scenarios.combined_report(table)
 
 

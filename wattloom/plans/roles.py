@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wattloom import constants as K
 from wattloom.functions import hash_uniform
+from wattloom.session import durable
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -134,7 +135,10 @@ def model_households(spark: SparkSession, sf: str) -> DataFrame:
                          K.ENDUSE_BTU["dhw"]: dhw * c("_spread"), K.ENDUSE_BTU["lighting"]: base * 0.3 * c("_spread"),
                          K.TOTAL_COL: (heat + cool + dhw + base) * c("_spread")}).drop("_spread")
     df = clean.normalised_weights(split.hash_split(clean.energy_intensity(df), ROW_KEY))
-    return df.withColumn("y_log", clean.log_target(K.TOTAL_COL))
+    df = df.withColumn("y_log", clean.log_target(K.TOTAL_COL))
+    # written once: later filters on derived columns must not unfold the formulas again
+    return durable(df.select(*ROW_KEY, "split", "w", "y_log", K.CLIMATE_SIMPLE_COL, "AIRCOND", "TYPEAC", "WINDOWS",
+                             K.CDD_COL, K.YEAR_BUILT_COL, "HEATPUMP", *MODEL_FEATURES, *MODEL_TARGETS))
 
 
 def roles_without_targets(df: DataFrame) -> DataFrame:
@@ -147,7 +151,7 @@ def encoded_households(spark: SparkSession, sf: str):
     df = model_households(spark, sf)
     encoder = FeatureEncoder(MODEL_FEATURES, keep=[*ROW_KEY, "split", "w", "y_log", *MODEL_TARGETS]).fit(
         df.filter("split = 'train'"))
-    return encoder, encoder.transform(df)
+    return encoder, durable(encoder.transform(df))
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,7 +14,6 @@ from wattloom.operators import clean
 
 # fixed values: encodings in the order they are tried
 ENCODINGS = ("utf-8", "latin-1", "cp1252")
-_REPLACEMENT = "�"
 
 _STOCK_NUMBERS = {"sqft", "total_energy_kwh", "elec_kwh", "gas_kwh", "eui_total", "bill_usd",
                   "co2e_kg", "weight"}
@@ -40,7 +39,7 @@ def resolve_columns(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> Data
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """First encoding that decodes every line; latin-1 always does."""
     lines = spark.read.text(path)
-    return ENCODINGS[1] if lines.filter(F.col("value").contains(_REPLACEMENT)).limit(1).count() else ENCODINGS[0]
+    return ENCODINGS[1] if lines.filter(~F.is_valid_utf8("value")).limit(1).count() else ENCODINGS[0]
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
