@@ -12,8 +12,8 @@ from wattloom import constants as K
 from wattloom.functions import as_number
 from wattloom.operators import clean
 
-# fixed values: encodings in the order they are tried
-ENCODINGS = ("utf-8", "latin-1", "cp1252")
+# encodings in the order they are tried; the second decodes any byte
+ENCODINGS = ("utf-8", "iso-8859-1")
 
 _STOCK_NUMBERS = {"sqft", "total_energy_kwh", "elec_kwh", "gas_kwh", "eui_total", "bill_usd",
                   "co2e_kg", "weight"}
@@ -37,7 +37,7 @@ def resolve_columns(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> Data
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """First encoding that decodes every line; latin-1 always does."""
+    """First encoding that decodes every line of the file."""
     lines = spark.read.text(path)
     return ENCODINGS[1] if lines.filter(~F.is_valid_utf8("value")).limit(1).count() else ENCODINGS[0]
 
