@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from wattloom import constants as K
 from wattloom.functions import hash_uniform
-from wattloom.session import durable
+from wattloom.session import durable, tune
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def hourly(spark: SparkSession, sf: str) -> DataFrame:

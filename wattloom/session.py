@@ -26,6 +26,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Session setting for long formula chains such as the physics features.
+
+    HotSpot never compiles methods above 8000 bytes of bytecode, so a whole-stage
+    method beyond that runs interpreted, many times slower. With this limit Spark
+    generates code per operator there instead.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint, which survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
