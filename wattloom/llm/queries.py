@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm import mixing, packing
+from wattloom.llm import mixing, packing, repeats, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,13 @@ ORACLES["op1_mixing"] = mixing.ORACLE
 @query
 def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
+
+
+@query
+def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.digest(table(spark, sf, "documents"))
