@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm import mixing, packing, repeats, simhash
+from wattloom.llm import language, mixing, packing, repeats, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,13 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.digest(table(spark, sf, "documents"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op4_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.predict(table(spark, sf, "documents"))
