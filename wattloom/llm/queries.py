@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm import language, mixing, packing, repeats, simhash, toxicity
+from wattloom.llm import language, mixing, packing, repeats, simhash, toxicity, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,8 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.predict(table(spark, sf, "documents"))
+
+
+@query
+def op10_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf, "embeddings"))
