@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm import language, mixing, packing, repeats, simhash, toxicity, vectors
+from wattloom.llm import language, licenses, mixing, modelscore, packing, repeats, simhash, topk, toxicity, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,21 @@ def op4_language(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@query
+def op9_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.nearest_vectors(table(spark, sf, "embeddings"))
+
+
+ORACLES["op9_topk"] = topk.ORACLE
+
+
+@query
+def op7_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return modelscore.scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op6_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))
