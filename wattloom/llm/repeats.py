@@ -205,9 +205,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     """mark, spans: for each text with repeated strings, array of (at, n), runs of n strings from at on."""
     marked = texts(docs.select("text")).select(F.col("__mark").alias("mark"), "text")
     found = marked.mapInArrow(_units, "key long, around binary, mark binary, at long, n int, before int")
-    common = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    # a table of its own, so that the join below reads two plain shuffles and a hot key can be split
+    common = durable(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
     unit = durable(found.join(common, "key", "left_semi"))
-    kinds = unit.groupBy("key", "around").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("mark", "at", "n", "before")).alias("u"))
+    kinds = durable(unit.groupBy("key", "around").agg(
+        F.count(F.lit(1)).alias("c"), F.min(F.struct("mark", "at", "n", "before")).alias("u")))
     whole = unit.join(kinds.filter("c > 1").select("key", "around"), ["key", "around"], "left_semi").select("mark", "at", "n")
     several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").withColumn(
         "pieces", F.ceil(F.col("kinds") / F.lit(PIECE)).cast("int")).select("key", "pieces")
