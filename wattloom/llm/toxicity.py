@@ -34,7 +34,8 @@ FEATURES = 1 << 20
 LEAST_DOCUMENTS = 4
 #: Lengths of the word starts that are features of their own.
 STARTS = (4, 5)
-#: Where nothing can be calibrated.
+#: Share of rightly set flags that a calibrated cut needs; and the cut where there is no such one.
+PRECISION = 0.98
 REJECT_AT = 0.5
 PENALTY = 0.0003
 SCALE = 10.0
@@ -138,13 +139,16 @@ class Link:
 
 
 def best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability from which on a flag counts: the best F1 out of fold, in the middle of its gap; 0.5 if none is set."""
+    """The probability from which on a flag counts: the best F1 out of fold at ``PRECISION``, in the middle of its gap; 0.5 if there is none."""
     if not y.sum():
         return REJECT_AT
     order = np.argsort(-p, kind="stable")
     p, hits = p[order], np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
     f1[:-1][p[:-1] == p[1:]] = 0        # a cut falls between different values only
+    f1[hits < PRECISION * np.arange(1, len(p) + 1)] = 0
+    if not f1.any():
+        return REJECT_AT
     at = int(np.argmax(f1))
     return float((p[at] + (p[at + 1] if at + 1 < len(p) else 0.0)) / 2)
 
