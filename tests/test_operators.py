@@ -125,7 +125,7 @@ def test_station_with_one_hour_and_mixed_case_states(spark):
     assert set(rows) == {"TX", "NY"} and rows["TX"].TMY3ST_n_stations == 2
     assert rows["TX"].TMY3_TDB_mean == pytest.approx((8.3 * 0.7 + 28.3 * 2) / 2.7)
     homes = spark.createDataFrame([(1, "Tx"), (2, "zz")], "DOEID long, state_postal string")
-    assert weather.attach_state_climate(homes, states, meta).count() == 2
+    assert weather.attach_state_climate(homes, states).count() == 2
 
 
 # ---- physics -------------------------------------------------------------------------------

@@ -19,7 +19,6 @@ def test_survey_scan(spark, tmp_path):
     a, b = df.orderBy("DOEID").collect()
     assert a.EUI == 50.0 and a.YEAR_BUILT == 1955 and a.WALLTYPE is None and a.name == "café"
     assert b.YEAR_BUILT is None and b.BA_climate_SIMPLE == "Hot"
-    assert tables.load_survey(spark, str(p), nrows=1).count() == 1
 
 
 def test_weather_scans(spark, tmp_path):
@@ -73,8 +72,3 @@ def test_registry(spark, tmp_path):
 def test_alias_order():
     assert tables.find_column(["GHI", "ghi (w/m^2) "], K.WEATHER_ALIASES["radiation"]) == "ghi (w/m^2) "
     assert tables.find_column(["x"], ["y"]) is None
-
-
-@pytest.mark.parametrize("n,rows", [(None, 3), (2, 2)])
-def test_row_cap(spark, n, rows):
-    assert tables.row_cap(spark.range(3).select(F.col("id")), n).count() == rows

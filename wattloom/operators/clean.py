@@ -84,14 +84,15 @@ def normalised_weights(df: DataFrame, weight: str = K.WEIGHT_COL, split: str = "
                        target: str = "w") -> DataFrame:
     """Weights divided by the mean of their split.
 
-    The split means are one partial aggregate over a fixed set of labels, so the
-    rows themselves are not shuffled as a window over the split would do.
+    The split means are one partial aggregate, one row per label whatever the labels are,
+    joined back; the rows are not dealt out by split as a window would do.
     """
     w = survey_weight(df, weight)
-    labels = list(K.SPLIT_SIZES)
-    means = df.agg(*[F.avg(F.when(F.col(split) == s, w)).alias(s) for s in labels]).first()
-    mean = code_map(split, {s: means[s] for s in labels if means[s]}, 1.0)
-    return df.withColumn(target, w / mean)
+    means = df.groupBy(F.col(split).alias("_split")).agg(F.avg(w).alias("_mean"))
+    joined = df.join(means, F.col(split).eqNullSafe(F.col("_split")), "left")
+    mean = F.coalesce(F.when(F.col("_mean") != 0, F.col("_mean")), F.lit(1.0))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != target]
+    return joined.withColumn(target, w / mean).select(*kept, target)
 
 
 def guarded_names(columns: Sequence[str], tokens: Sequence[str] = K.GUARD_TOKENS,

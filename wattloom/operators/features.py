@@ -14,22 +14,22 @@ from wattloom import constants as K
 from wattloom.functions import as_number, clip, unpivot
 from wattloom.operators.clean import align_schema, numeric_columns
 from wattloom.operators.quantiles import exact_percentiles
-from wattloom.session import durable, small_side
+from wattloom.session import durable
 
 MISSING = "MISSING"
 LITERAL_LEVELS = 100
 
 
-def level_counts(df: DataFrame, columns: Sequence[str], exact_below: int = 50) -> dict[str, int]:
-    """Distinct non-null values per column.
+def level_counts(df: DataFrame, columns: Sequence[str], exact_below: int) -> dict[str, int]:
+    """Distinct non-null values per column, exact where there are at most ``exact_below``.
 
-    A sketch screens all columns in one scan; only columns with few levels are
-    counted exactly, over (column, value) pairs combined before the shuffle.
+    A sketch screens all columns in one scan. Columns that it puts well above ``exact_below`` keep its
+    figure; the others are counted over (column, value) pairs combined before the shuffle.
     """
     long = unpivot(df, {c: F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.col(f"`{c}`"))) for c in columns})
     out = {r.column: r.n for r in long.groupBy("column")
            .agg(F.approx_count_distinct("value").alias("n")).collect()}
-    few = [c for c in columns if out[c] <= exact_below]
+    few = [c for c in columns if out[c] <= 2 * exact_below + 10]      # many times the sketch's error
     if few:
         exact = {r.column: r.n for r in column_levels(df, few).groupBy("column")
                  .agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -52,7 +52,7 @@ def column_kinds(df: DataFrame, columns: Sequence[str] | None = None,
     """(categorical, numeric): text, or numbers with at most ``max_levels`` levels."""
     columns = list(columns or df.columns)
     numeric = [c for c in numeric_columns(df) if c in set(columns)]
-    levels = level_counts(df, numeric) if numeric else {}
+    levels = level_counts(df, numeric, max_levels) if numeric else {}
     wide = {c for c in numeric if levels[c] > max_levels}
     return [c for c in columns if c not in wide], [c for c in columns if c in wide]
 
@@ -69,7 +69,7 @@ class FeatureEncoder(Estimator):
         schema = list(self.columns or [c for c in df.columns if c not in self.keep])
         cats, nums = column_kinds(df, schema, self.max_levels)
         text = [c for c in cats if isinstance(df.schema[c].dataType, T.StringType)]
-        sizes = level_counts(df, text) if text else {}
+        sizes = level_counts(df, text, LITERAL_LEVELS) if text else {}
         short = [c for c in cats if sizes.get(c, 0) <= LITERAL_LEVELS]
         levels: dict[str, list[str]] = {c: [] for c in short}
         if short:
@@ -119,7 +119,7 @@ class FeatureEncoderModel(Model):
         kept = [c for c in self.keep if c in df.columns]
         frame = align_schema(df, kept + [c for c in self.schema if c not in kept])
         for c, words in self.dictionaries.items():
-            side = small_side(words.select(F.col("value").alias("_v"), F.col("code").alias("_c")))
+            side = words.select(F.col("value").alias("_v"), F.col("code").alias("_c"))
             text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(MISSING))
             frame = frame.join(side, text == F.col("_v"), "left").withColumn(
                 c, F.coalesce("_c", F.lit(-1.0))).drop("_v", "_c")

@@ -53,27 +53,28 @@ def regression_metrics(df: DataFrame, y: str, pred: str, weight: str | None = No
 
 def interval_coverage(df: DataFrame, y: str, lo: str, hi: str, by: Sequence[str] = (),
                       min_rows: int = 10) -> DataFrame:
-    """Share of targets inside inclusive bounds, and the mean width."""
+    """Share of targets inside inclusive bounds, and the mean width; NULL below ``min_rows``."""
     ok = df.select(*by, *[finite(F.col(c).cast("double")).alias(n)
                           for c, n in ((y, "_y"), (lo, "_l"), (hi, "_h"))]).dropna(subset=["_y", "_l", "_h"])
     g = _grouped(ok, by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.col("_y").between(F.col("_l"), F.col("_h")).cast("double")).alias("coverage"),
         F.avg(F.col("_h") - F.col("_l")).alias("mean_width"))
-    return g.filter(F.col("n") >= min_rows)
+    return g.select(*by, "n", *[F.when(F.col("n") >= min_rows, F.col(c)).alias(c) for c in ("coverage", "mean_width")])
 
 
 def population_calibration(df: DataFrame, y: str, pred: str, weight: str, by: Sequence[str] = (),
                            min_rows: int = 10) -> DataFrame:
-    """Weighted totals of truth and prediction, and their gap in percent."""
+    """Weighted totals of truth and prediction, and their gap in percent; NULL below ``min_rows``."""
     ok = df.select(*by, *[finite(F.col(c).cast("double")).alias(n)
                           for c, n in ((y, "_y"), (pred, "_p"), (weight, "_w"))]).dropna(subset=["_y", "_p", "_w"])
     g = _grouped(ok, by).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("_y") * F.col("_w")).alias("weighted_total_true"),
         F.sum(F.col("_p") * F.col("_w")).alias("weighted_total_pred"))
     t, p = F.col("weighted_total_true"), F.col("weighted_total_pred")
-    return (g.filter(F.col("n") >= min_rows)
-            .withColumn("calibration_error_pct", 100 * (p - t) / F.greatest(t, F.lit(1e-9))))
+    g = g.withColumn("calibration_error_pct", 100 * (p - t) / F.greatest(t, F.lit(1e-9)))
+    scores = ("weighted_total_true", "weighted_total_pred", "calibration_error_pct")
+    return g.select(*by, "n", *[F.when(F.col("n") >= min_rows, F.col(c)).alias(c) for c in scores])
 
 
 # ---- conformal intervals ------------------------------------------------------

@@ -21,7 +21,7 @@ from wattloom.functions import null_nan
 from wattloom.session import chunks
 
 ACCURACY = 10_000
-DIRECT_ROWS = 1_000_000
+DIRECT_ROWS = 50_000
 MAX_PASSES = 40
 
 

@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 from wattloom import constants as K
 from wattloom.functions import as_number
 
-MAX_DRIVER_VALUES = 10_000
-
 
 def _per_upgrade(row: DataFrame, upgrades: Sequence[int], fields: dict[str, str]) -> DataFrame:
     """One wide row (``field_upgrade`` columns) to one row per upgrade."""
@@ -152,13 +150,13 @@ def driver_table(stock: DataFrame, upgrades: Sequence[int], columns: Sequence[st
 
 def driver_columns(stock: DataFrame, upgrades: Sequence[int] = K.UPGRADES,
                    columns: Sequence[str] | None = None, energy: str = K.STOCK_ENERGY_COL,
-                   limit: int = 3) -> dict[int, list[str]]:
+                   ids: Sequence[str] = ("bldg_id",)) -> dict[int, list[str]]:
     """Columns an upgrade pins: one value (numbers) or a strict subset (text).
 
     Numbers need only minima and maxima; only text columns are unpivoted. The
-    driver receives one small row per column and upgrade.
+    driver receives one small row per column and upgrade. ``ids`` name rows and are never drivers.
     """
-    skip = {"upgrade", energy}
+    skip = {"upgrade", energy, *ids}
     names = [c for c in (columns or stock.columns) if c not in skip]
     numeric = [c for c in names if isinstance(stock.schema[c].dataType, T.NumericType)]
     text = [c for c in names if c not in numeric]
@@ -167,21 +165,7 @@ def driver_columns(stock: DataFrame, upgrades: Sequence[int] = K.UPGRADES,
         for r in driver_table(stock, upgrades, text).collect():
             if 0 < r.n_up < r.n_base and r.n_new == 0:
                 hits.add((r.upgrade, r.column))
-    return {k: [c for c in names if (k, c) in hits][:limit] for k in upgrades}
-
-
-def _in_upgrade_values(stock: DataFrame, upgrade: int, column: str) -> Column | DataFrame:
-    """Membership test of a baseline value among the values of an upgrade.
-
-    A counted-small value list becomes a predicate that reaches the scan;
-    otherwise the distinct values are returned for a semi join.
-    """
-    values = (stock.filter((F.col("upgrade") == upgrade) & F.col(f"`{column}`").isNotNull())
-              .select(F.col(f"`{column}`").alias("v")).distinct())
-    some = values.limit(MAX_DRIVER_VALUES + 1).collect()
-    if len(some) <= MAX_DRIVER_VALUES:
-        return F.coalesce(F.col(f"`{column}`").isin([r.v for r in some]), F.lit(False))
-    return values
+    return {k: [c for c in names if (k, c) in hits] for k in upgrades}
 
 
 def restricted_stock(stock: DataFrame, upgrade: int, drivers: Sequence[str]) -> DataFrame:
@@ -189,9 +173,8 @@ def restricted_stock(stock: DataFrame, upgrade: int, drivers: Sequence[str]) ->
     u = F.col("upgrade")
     base, up = stock.filter(u == 0), stock.filter(u == upgrade)
     for c in drivers:
-        test = _in_upgrade_values(stock, upgrade, c)
-        base = base.filter(test) if isinstance(test, Column) else base.join(
-            test.withColumnRenamed("v", c), c, "left_semi").select(*stock.columns)
+        values = up.filter(F.col(f"`{c}`").isNotNull()).select(F.col(f"`{c}`").alias("_v")).distinct()
+        base = base.join(values, base[f"`{c}`"] == values["_v"], "left_semi")
     return base.unionByName(up)
 
 
@@ -285,14 +268,18 @@ def duplicate_buildings(stock: DataFrame, building: str = "bldg_id") -> DataFram
 
 def building_pairs(stock: DataFrame, upgrade: int, features: Sequence[str], building: str = "bldg_id",
                    energy: str = K.STOCK_ENERGY_COL, min_base: float = 2000.0) -> DataFrame:
-    """Upgraded rows with their baseline features and saving; the last baseline row
-    of a repeated id is used, so a hot id cannot multiply rows."""
+    """Upgraded rows with the baseline features and the saving of the same building.
+
+    An id that repeats in the baseline or among the upgraded rows pairs with nothing
+    for certain, so it is left out; ``duplicate_buildings`` counts such ids. Both sides
+    are one row per id before they meet, so a hot id is only ever counted.
+    """
     e, u = _energy(energy), F.col("upgrade")
     base = (stock.filter(u == 0).groupBy(building)
-            .agg(F.max_by(F.struct(e.alias("e_base"), *[F.col(c) for c in features]),
-                          F.struct(e.isNotNull(), e, F.xxhash64(*features))).alias("b"))
-            .select(building, "b.*"))
-    up = stock.filter((u == upgrade) & e.isNotNull()).select(building, e.alias("e_up"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(e.alias("e_base"), *[F.col(c) for c in features])).alias("b"))
+            .filter("_n = 1").select(building, "b.*"))
+    up = (stock.filter(u == upgrade).groupBy(building).agg(F.count(F.lit(1)).alias("_n"), F.any_value(e).alias("e_up"))
+          .filter("_n = 1 and e_up is not null").select(building, "e_up"))
     pairs = up.join(base, building)
     return (pairs.filter((F.col("e_base") > min_base) & (F.col("e_up") >= 0))
             .withColumn("saving_pct", saving_pct(F.col("e_base"), F.col("e_up"))))
@@ -322,8 +309,7 @@ def pair_cell_keys(df: DataFrame, keys: Sequence[str] = K.PAIR_KEYS, area: str =
 
 def cell_pairs(stock: DataFrame, upgrade: int, features: Sequence[str] = (),
                keys: Sequence[str] = K.PAIR_KEYS, energy: str = K.STOCK_ENERGY_COL,
-               medians: dict[str, float] | None = None, min_keys: int = 3,
-               min_cells: int = K.MIN_MATCHED_CELLS) -> DataFrame:
+               medians: dict[str, float] | None = None, min_keys: int = 3) -> DataFrame:
     """Mean baseline and upgraded energy, and mean baseline features, per common
     cell: one grouped aggregate over baseline and upgrade together."""
     cells = {f"k_{k}": c for k, c in pair_cell_keys(stock, keys).items()}

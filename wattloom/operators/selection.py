@@ -93,7 +93,7 @@ def top_features(importance: DataFrame, k: int = 25, value: str = "importance")
 
 def select_features(df: DataFrame, columns: Sequence[str], target: str, max_features: int = 250,
                     keep_physics: bool = True, importance: DataFrame | None = None,
-                    min_rows: int = 100, bins: int = 10) -> list[str]:
+                    bins: int = 10) -> list[str]:
     """Hybrid selection on training rows: usable, information, importance, cap.
 
     ``importance`` (``column, importance``) usually comes from a small tree model;
@@ -101,8 +101,8 @@ def select_features(df: DataFrame, columns: Sequence[str], target: str, max_feat
     """
     rows = df.filter(F.col(target).isNotNull())
     usable = usable_columns(rows, columns)
-    if len(usable) == 0 or rows.limit(min_rows).count() < min_rows:
-        return usable[:max_features]
+    if not usable:
+        return []
     mi = binned_mutual_information(rows, usable, target, bins)
     if importance is None:
         importance = absolute_correlation(rows, usable, target).select(

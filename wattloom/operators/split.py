@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom import constants as K
 from wattloom.functions import hash_bucket, hash_uniform
-from wattloom.operators.quantiles import order_statistics
 
-MAX_STRATA = 1000
+#: Equal parts of the hashed key that ranks are counted in.
+PARTS = 4096
 
 
 def _cuts(sizes: Mapping[str, float]) -> list[tuple[str, float]]:
@@ -42,12 +42,32 @@ def hash_split(df: DataFrame, keys: Sequence[str], sizes: Mapping[str, float] =
     return df.withColumn(target, _label(hash_uniform(list(keys), seed), _cuts(sizes)))
 
 
-def first_rank_at(n: int, share: float) -> int:
-    """Smallest zero-based rank i with i/n >= share."""
-    i = max(int(n * share) - 2, 0)
-    while i / n < share:
-        i += 1
-    return i
+def _cut_table(rows: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """``s, cut0, cut1, ...``: per stratum the hashed key at the rank of each share, NULL beyond its last row.
+
+    Rows (s, u) are counted per stratum and part of the hash; the part that holds a rank is
+    known from the running counts, and only the rows of such parts are numbered. No
+    task sees a stratum, and any number of strata is one job.
+    """
+    part = F.floor(F.col("u") * PARTS).cast("int")
+    counts = rows.groupBy("s", part.alias("part")).agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy("s").orderBy("part")
+    counts = counts.withColumns({
+        "n": F.sum("c").over(Window.partitionBy("s")),
+        "ahead": F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    near = lambda q: F.greatest(F.floor(F.col("n") * F.lit(q)) - 2, F.lit(0))
+    first = lambda q: F.get(F.filter(F.sequence(near(q), near(q) + 5), lambda i: i / F.col("n") >= F.lit(q)), 0)
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), first(q).alias("rank")) for i, q in enumerate(shares)])
+    wanted = (counts.withColumn("w", F.explode(ranks)).filter("w.rank >= ahead and w.rank < ahead + c")
+              .select(F.col("s").alias("_s"), F.col("part").alias("_part"), (F.col("w.rank") - F.col("ahead") + 1).alias("nth"), "w.i"))
+    held = rows.withColumn("part", part)
+    at = F.col("s").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_part"))
+    numbered = (held.join(wanted.select("_s", "_part").distinct(), at, "left_semi")
+                .withColumn("k", F.row_number().over(Window.partitionBy("s", "part").orderBy("u"))))
+    hits = numbered.join(wanted, at & (F.col("k") == F.col("nth"))).groupBy("s").agg(
+        *[F.max(F.when(F.col("i") == i, F.col("u"))).alias(f"cut{i}") for i in range(len(shares))])
+    every = counts.select(F.col("s").alias("_s")).distinct()
+    return every.join(hits, F.col("_s").eqNullSafe(F.col("s")), "left").drop("s")
 
 
 def stratified_split(df: DataFrame, keys: Sequence[str], stratum: str,
@@ -55,34 +75,21 @@ def stratified_split(df: DataFrame, keys: Sequence[str], stratum: str,
                      min_stratum: int = 10, target: str = "split") -> DataFrame:
     """Exact shares inside every stratum.
 
-    The cut points are exact order statistics of the hashed key per stratum, so a
-    stratum with a third of all rows is never gathered; the labels are then a
-    row-local comparison. Falls back to one stratum if any has fewer than
-    ``min_stratum`` rows.
+    The cut points are exact order statistics of the hashed key per stratum, in a table of
+    one row per stratum that is joined back. Falls back to one stratum if any has fewer
+    than ``min_stratum`` rows.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(F.col(stratum)).count().limit(MAX_STRATA + 1).collect()}
-    if len(counts) > MAX_STRATA:
-        raise ValueError(f"{stratum} has more than {MAX_STRATA} strata; split on a coarser column")
-    u = hash_uniform(list(keys), seed)
-    cuts = _cuts(sizes)
-    if min(counts.values(), default=0) < min_stratum:
-        members: dict[str, Column] = {"all": F.lit(True)}
-    else:
-        members = {f"s{i}": F.col(stratum).eqNullSafe(F.lit(v)) for i, v in enumerate(counts)}
-    values = {name: F.when(cond, u) for name, cond in members.items()}
-
-    def ranks(_: str, n: int) -> list[int]:
-        return [first_rank_at(n, share) for _, share in cuts[:-1]]
-
-    found, n_rows = order_statistics(df, values, ranks)
-    label = F.lit(None).cast("string")
-    for name, cond in members.items():
-        n = n_rows[name]
-        if not n:
-            continue
-        points = [(split, found[name].get(first_rank_at(n, share))) for split, share in cuts]
-        label = F.when(cond, _label(u, points)).otherwise(label)
-    return df.withColumn(target, label)
+    least = df.groupBy(F.col(stratum)).count().agg(F.min("count")).first()[0]
+    s = F.col(stratum) if (least or 0) >= min_stratum else F.lit("all")
+    u, cuts = hash_uniform(list(keys), seed), _cuts(sizes)
+    table = _cut_table(df.select(s.alias("s"), u.alias("u")), [share for _, share in cuts[:-1]])
+    joined = df.withColumns({"_stratum": s, "_u": u}).join(table, F.col("_stratum").eqNullSafe(F.col("_s")), "left")
+    label = F.lit(cuts[-1][0])
+    for i in range(len(cuts) - 2, -1, -1):
+        cut = F.col(f"cut{i}")
+        label = F.when(cut.isNull() | (F.col("_u") < cut), cuts[i][0]).otherwise(label)
+    columns = [c for c in df.columns if c != target]
+    return joined.withColumn(target, label).select(*[F.col(f"`{c}`") for c in columns], target)
 
 
 def add_fold(df: DataFrame, keys: Sequence[str], folds: int = 5, seed: int = 42,

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from wattloom import constants as K
 from wattloom.functions import as_number, clip, code_map
-from wattloom.session import small_side
 
 SERIES = {"dry_bulb": "TDB", "radiation": "GHI", "humidity": "RH", "wind": "WSPD"}
 
@@ -65,8 +64,7 @@ def state_key(c: str):
 def state_climate(meta: DataFrame, stations: DataFrame, first_letter_only: bool = False) -> DataFrame:
     """State means of the station features, weighted by class weight x hours.
 
-    ``meta`` is one row per station (repeats are dropped); it is broadcast only if
-    it is counted to be small, otherwise it shuffles to the station aggregate.
+    ``meta`` is one row per station (repeats are dropped); Spark picks the join by its size.
     """
     geo = {"latitude": "TMY3ST_Lat", "longitude": "TMY3ST_Lon", "elevation": "TMY3ST_Elev"}
     side = meta.select(
@@ -74,7 +72,7 @@ def state_climate(meta: DataFrame, stations: DataFrame, first_letter_only: bool
         station_weight(meta, first_letter_only).alias("_cw"),
         *[as_number(c).alias(v) for c, v in geo.items() if c in meta.columns],
     ).dropDuplicates(["station_number"])
-    joined = stations.join(small_side(side, bound=meta), "station_number")
+    joined = stations.join(side, "station_number")
     joined = (joined.withColumn("_w", F.col("_cw") * F.greatest(F.col("TMY3_n_hours"), F.lit(1)))
               .filter(F.col(K.STATE_COL).isNotNull()))
     features = [c for c in joined.columns
@@ -89,14 +87,13 @@ def state_climate(meta: DataFrame, stations: DataFrame, first_letter_only: bool
         *[mean(c) for c in features], F.count(F.lit(1)).alias("TMY3ST_n_stations"))
 
 
-def attach_state_climate(households: DataFrame, states: DataFrame, meta: DataFrame,
+def attach_state_climate(households: DataFrame, states: DataFrame,
                          columns: Sequence[str] | None = None) -> DataFrame:
     """Left join of the state features; every household row is kept exactly once."""
     if columns is not None:
         states = states.select(K.STATE_COL, *columns)
     keyed = households.withColumn(K.STATE_COL, state_key(K.STATE_COL))
-    known = meta.select("state").distinct()
-    return keyed.join(small_side(states, bound=known), K.STATE_COL, "left")
+    return keyed.join(states, K.STATE_COL, "left")
 
 
 def match_rate(df: DataFrame, column: str) -> DataFrame:

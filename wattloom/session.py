@@ -1,4 +1,4 @@
-"""Session helpers: durable lineage cuts and size-checked broadcasts."""
+"""Session helpers: durable lineage cuts and small conveniences."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder named by the cluster; a private one only in local mode."""
@@ -43,21 +41,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
-def small_side(df: DataFrame, bound: DataFrame | None = None,
-               max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only if ``bound`` proves it has few rows.
-
-    ``bound`` is a cheap frame with at least as many rows as ``df`` (for example
-    the distinct keys of a metadata table). Without the proof the frame is
-    returned unmarked and the join shuffles.
-    """
-    return F.broadcast(df) if has_at_most(df if bound is None else bound, max_rows) else df
-
-
 def chunks(items: Iterable, size: int) -> list[list]:
     items = list(items)
     return [items[i:i + size] for i in range(0, len(items), size)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,14 +21,14 @@ _STOCK_NUMBERS = {"sqft", "total_energy_kwh", "elec_kwh", "gas_kwh", "eui_total"
 
 
 def find_column(columns: Sequence[str], aliases: Sequence[str]) -> str | None:
-    """First alias present: exact, else ignoring case and outer blanks."""
-    folded = {c.lower().strip(): c for c in columns}
-    for a in aliases:
-        if a in columns:
-            return a
-        if a.lower().strip() in folded:
-            return folded[a.lower().strip()]
-    return None
+    """The column of the first alias that any column has, blanks and case aside.
+
+    Among columns of one alias an exact match is preferred, then the earliest.
+    """
+    ranked = [(rank, column != alias, at, column)
+              for rank, alias in enumerate(aliases) for at, column in enumerate(columns)
+              if column.strip().casefold() == alias.strip().casefold()]
+    return min(ranked)[-1] if ranked else None
 
 
 def resolve_columns(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -52,24 +53,23 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return reader.option("inferSchema", infer).csv(path)
 
 
-def row_cap(df: DataFrame, nrows: int | None) -> DataFrame:
-    return df if nrows is None else df.limit(nrows)
-
-
-def load_survey(spark: SparkSession, path: str, nrows: int | None = None,
-                schema: T.StructType | None = None) -> DataFrame:
+def load_survey(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Survey microdata with vintage year, missing codes cleared, intensities,
     shares and the coarse climate zone."""
-    df = row_cap(read_csv(spark, path, schema, infer=schema is None), nrows)
+    df = read_csv(spark, path, schema, infer=schema is None)
     df = df.toDF(*[c.strip() for c in df.columns])
     df = clean.sentinels_to_null(clean.vintage_year(df))
     return clean.add_coarse_zone(clean.energy_intensity(df))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """Whether Spark finds anything to read at ``path``."""
+    try:
+        return bool(spark.read.text(path).columns)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def load_stations(spark: SparkSession, path: str) -> DataFrame | None:
@@ -101,8 +101,8 @@ def stock_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return typed.withColumnsRenamed({k: v for k, v in K.STOCK_TO_SURVEY.items() if k in typed.columns})
 
 
-def load_stock(spark: SparkSession, files: Mapping[int, str], nrows: int | None = None,
-               partitions: int | None = None) -> DataFrame:
+def load_stock(spark: SparkSession, files: Mapping[int, str], partitions: int | None = None,
+               encoding: str = "utf-8") -> DataFrame:
     """All upgrade files as one frame with an ``upgrade`` column (0 = baseline).
 
     A gzip file is read by one task; ``partitions`` spreads the rows afterwards.
@@ -112,7 +112,7 @@ def load_stock(spark: SparkSession, files: Mapping[int, str], nrows: int | None
     for upgrade, path in files.items():
         if not exists(spark, path):
             continue
-        part = row_cap(stock_columns(read_csv(spark, path, encoding="utf-8")), nrows)
+        part = stock_columns(read_csv(spark, path, encoding=encoding))
         part = part.withColumn("upgrade", F.lit(int(upgrade)))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
