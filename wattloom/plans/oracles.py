@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from wattloom.operators.metrics import t_quantile
-from wattloom.plans.queries import GROUPS
-
 ORACLES: dict[str, str] = {}
+# The physics columns that each query of a group publishes.
+GROUPS = {
+    "geometry": ["building_height", "footprint_area", "building_perimeter", "wall_area", "roof_area",
+                 "building_volume", "surface_area", "surface_volume_ratio", "surface_factor", "log_sqft", "age"],
+    "envelope": ["U_wall", "U_roof", "U_window", "window_area", "window_wall_ratio", "ceiling_insul"],
+    "conductance": ["UA_wall", "UA_window", "UA_roof", "UA_floor", "UA_infiltration", "UA_total",
+                    "ACH_natural", "duct_leakage"],
+    "equipment": ["heating_eff", "cooling_eff", "dhw_eff", "has_cooling"],
+    "loads": ["heating_load", "cooling_load", "dhw_load", "solar_gain", "base_load"],
+    "interactions": ["HDD_x_UA", "CDD_x_UA", "HDD_x_sqft", "CDD_x_sqft", "HDD_x_CDD", "vintage_x_HDD",
+                     "occ_x_sqft"],
+    "scores": ["envelope_quality", "eui_estimate", "heating_share_est", "cooling_share_est", "dhw_share_est",
+               "efficiency_score"],
+}
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 
@@ -58,7 +69,7 @@ st as (select station_number, sum(greatest(18.3::double - t, 0) / 24) "TMY3_HDD6
   avg(t) "TMY3_TDB_mean", stddev_samp(t) "TMY3_TDB_std", max(t) "TMY3_TDB_max", count(*) "TMY3_n_hours" from h group by 1),
 s2 as (select *, "TMY3_HDD65" / greatest("TMY3_CDD65", 1) "TMY3_HDD_CDD_ratio",
   least(greatest("TMY3_HDD65" / 30, 0), 12) "TMY3_heating_months", least(greatest("TMY3_CDD65" / 30, 0), 12) "TMY3_cooling_months" from st)
-select station_number, {', '.join(f'round("{c}" + 1e-9::double, 6) "{c}"' for c in [*FEATURES[:2], *SERIES[:3], *FEATURES[14:17]])}, "TMY3_n_hours" from s2"""
+select station_number, {', '.join(f'round("{c}", 10) "{c}"' for c in [*FEATURES[:2], *SERIES[:3], *FEATURES[14:17]])}, "TMY3_n_hours" from s2"""
 
 
 def state_sql(class_weight: str) -> str:
@@ -333,12 +344,13 @@ ORACLES["measured_deltas_without_ids"] = f"with {measured_sql(False)} {_MEASURED
 ORACLES["duplicate_buildings"] = f"""with {STOCK}, d as (select upgrade, bldg_id from stock group by 1, 2 having count(*) > 1)
 select upgrade, count(*) n_duplicate_ids from d group by 1"""
 ORACLES["cell_pairs"] = f"""with {STOCK},
-k as (select *, coalesce(round("TOTSQFT_EN" / 500)::bigint::varchar, 'NA') k0 from stock where upgrade in (0, 15)),
-c as (select k0, vintage, "TYPEHUQ", "BA_climate", "FUELHEAT", count(*) filter (upgrade = 0) n_base, count(*) filter (upgrade = 15) n_up,
-  avg(e) filter (upgrade = 0) e_base, avg(e) filter (upgrade = 15) e_up, avg("TOTSQFT_EN") filter (upgrade = 0) a from k group by 1, 2, 3, 4, 5)
-select k0 "k_TOTSQFT_EN", vintage k_vintage, "TYPEHUQ"::varchar "k_TYPEHUQ", "BA_climate" "k_BA_climate", "FUELHEAT"::varchar "k_FUELHEAT",
-n_base, n_up, round(e_base + 1e-8, 6) e_base, round(e_up + 1e-8, 6) e_up, round(a + 1e-8, 6) "TOTSQFT_EN",
-round(least(greatest((e_base - e_up) / e_base * 100, -50), 90) + 1e-8, 6) saving_pct from c where e_base is not null and e_up is not null"""
+k as (select *, coalesce(round("TOTSQFT_EN" / 500)::bigint::varchar, 'NA') k0 from stock),
+c as (select u.upgrade, k0, vintage, "TYPEHUQ", "BA_climate", "FUELHEAT", count(*) filter (k.upgrade = 0) n_base, count(*) filter (k.upgrade = u.upgrade) n_up,
+  avg(e) filter (k.upgrade = 0) e_base, avg(e) filter (k.upgrade = u.upgrade) e_up, avg("TOTSQFT_EN") filter (k.upgrade = 0) a
+  from k join (select unnest([3, 4, 10, 11, 15]) upgrade) u on k.upgrade in (0, u.upgrade) group by 1, 2, 3, 4, 5, 6)
+select upgrade, k0 "k_TOTSQFT_EN", vintage k_vintage, "TYPEHUQ"::varchar "k_TYPEHUQ", "BA_climate" "k_BA_climate", "FUELHEAT"::varchar "k_FUELHEAT",
+n_base, n_up, round(e_base * n_base, 6) sum_base, round(e_up * n_up, 6) sum_up, round(a * n_base, 6) sum_area,
+round(least(greatest((e_base - e_up) / e_base * 100, -50), 90), 8) saving_pct from c where e_base is not null and e_up is not null"""
 ORACLES["site_energy"] = f"""with {STOCK} select "BA_climate", round(avg(e * 3.412::double), 3) mean_kbtu, count(e) n from stock where upgrade = 0 group by 1"""
 
 # ---- splits -------------------------------------------------------------------------
@@ -380,7 +392,7 @@ _BOUNDS = f"""{CONF}, b as (select o_orderkey, y, greatest(exp(lp - q) - 1, 0) l
   from pred cross join (select q from q where alpha = 0.1::double) where split = 'test')"""
 ORACLES["conformal_interval"] = f"with {_BOUNDS} select o_orderkey, round(lo, 2) lo, round(hi, 2) hi from b"
 ORACLES["interval_coverage"] = f"""with {_BOUNDS} select count(*) n, round(avg((y between lo and hi)::int), 4) coverage, round(avg(hi - lo), 2) mean_width from b"""
-_T9 = repr(t_quantile(0.975, 9))
+_T9 = "2.2621571627982044"        # Student's t, 0.975, nine degrees of freedom
 SCORES = f"""{PRED}, f as (select *, y * 0.2::double + p * 0.8::double p2, {bucket('o_orderkey', '7', 10)} fold from pred),
 sc as (select fold, 1 - avg((y - p) * (y - p)) / var_pop(y) "noTL", 1 - avg((y - p2) * (y - p2)) / var_pop(y) "TL" from f group by 1)"""
 ORACLES["seed_summary"] = f"""with {SCORES}, s as (select 'noTL' model, "noTL" v from sc union all select 'TL', "TL" from sc)
@@ -399,9 +411,11 @@ MATRIX = f"""mx as (select vec_id, embedding, {split_of('vec_id')} split,
 long as (select vec_id, split, target, 'e' || (i - 1) "column", i, embedding[i]::double v from mx, range(1, 65) t(i))"""
 ORACLES["winsor_impute"] = f"""with {MATRIX} select "column", round(quantile_cont(v, 0.01), 6) lo, round(median(v), 6) median,
 round(quantile_cont(v, 0.99), 6) hi from long where split = 'train' group by 1"""
-_CLIP = ", ".join(f"""round(greatest(least(embedding[{i + 1}]::double, (select quantile_cont(v, 0.99) from long where split = 'train' and i = {i + 1})),
-  (select quantile_cont(v, 0.01) from long where split = 'train' and i = {i + 1})), 6) e{i}""" for i in range(8))
-ORACLES["winsor_transform"] = f"with {MATRIX} select vec_id, {_CLIP} from mx"
+_CLIP = ", ".join(f"""round(greatest(least(embedding[{i + 1}]::double, hi[{i + 1}]), lo[{i + 1}]), 6) e{i}""" for i in range(64))
+ORACLES["winsor_transform"] = f"""with {MATRIX},
+q as (select i, quantile_cont(v, 0.01) lo, quantile_cont(v, 0.99) hi from long where split = 'train' group by i),
+b as (select list(lo order by i) lo, list(hi order by i) hi from q)
+select vec_id, {_CLIP} from mx cross join b"""
 ORDF = f"""ordf as (select o_orderkey, case when o_orderkey % 11 <> 0 then o_orderstatus end o_orderstatus, o_orderpriority,
   month(o_orderdate) "month", {split_of('o_orderkey')} split from orders)"""
 
@@ -447,7 +461,7 @@ from hh cross join md group by 1"""
 _BAD = sorted(["TOTALBTU", "TOTALBTUSPH", "BTUELCOL", "TOTALBTUWTH", "BTUELLGT", "NWEIGHT", *EUI_COLS])
 _LINEAGE = sorted(["TOTALBTU", "TOTALBTUSPH", "BTUELCOL", "TOTALBTUWTH", "BTUELLGT", *EUI_COLS])
 ORACLES["audit_names"] = f"select count(*) n_rows, '{','.join(_BAD)}' forbidden, '{','.join(_LINEAGE)}' lineage from lineitem"
-ORACLES["audit_removed"] = f"""select unnest([{', '.join(f"'{c}'" for c in _BAD)}]) "column" """
+ORACLES["audit_removed"] = f"""with {HH} {' union all '.join(f"""select '{c}' "column", count(*) n, count("{c}") n_valid from hh""" for c in _BAD)}"""
 ORACLES["audit_tripwire"] = f"""with {MATRIX}, x as (select "column", v, target from long union all select 'leak', target * 2 + 1, target from mx),
 c as (select "column", abs(corr(v, target)) a, count(*) n from x group by 1) select "column", round(a, 6) abs_r, n from c where a > 0.90 and n > 100"""
 ORACLES["audit_duplicates"] = f"""with d as (select *, {split_of('doc_id')} split from documents),
@@ -517,3 +531,45 @@ s as (select l_linenumber, "TOTALBTU" t, "TOTSQFT_EN" q, a / greatest(a + b + d,
 select l_linenumber line, count(*) n, round(avg(a), 4) share_heating, round(avg(b), 4) share_cooling, round(avg(d), 4) share_dhw,
 round(avg(greatest(1 - a - b - d, 0)), 4) share_other, round(avg(a * t), 4) btu_heating, round(avg(b * t), 4) btu_cooling,
 round(avg(d * t), 4) btu_dhw, round(avg(a * t / greatest(q, 1)), 4) eui_heating from s group by 1"""
+
+
+def combo_sql(prefix: str, y: str) -> str:
+    """CTEs ``{prefix}c`` (k, added, r2): greedy choice of up to three columns by least squares on correlations."""
+    two = "(a.ry * a.ry + x.ry * x.ry - 2 * a.ry * x.ry * p.r) / (1 - p.r * p.r)"
+    three = """(a.ry ^ 2 * (1 - bc.r ^ 2) + b.ry ^ 2 * (1 - ac.r ^ 2) + x.ry ^ 2 * (1 - ab.r ^ 2) - 2 * a.ry * b.ry * (ab.r - ac.r * bc.r)
+      - 2 * a.ry * x.ry * (ac.r - ab.r * bc.r) - 2 * b.ry * x.ry * (bc.r - ab.r * ac.r))
+      / (1 + 2 * ab.r * ac.r * bc.r - ab.r ^ 2 - ac.r ^ 2 - bc.r ^ 2)"""
+    q = prefix
+    return f"""{q}y as (select "column", corr(v, {y}) ry from long where split = 'train' group by 1),
+{q}1 as (select "column", ry, ry * ry r2 from {q}y order by r2 desc limit 1),
+{q}2 as (select x."column", x.ry, {two} r2 from {q}1 a join pairs p on p.c1 = a."column" join {q}y x on x."column" = p.c2 where a.r2 <= 0.95 order by r2 desc limit 1),
+{q}3 as (select x."column", {three} r2 from {q}1 a join {q}2 b on b.r2 <= 0.95 join pairs ab on ab.c1 = a."column" and ab.c2 = b."column"
+  join pairs ac on ac.c1 = a."column" join pairs bc on bc.c1 = b."column" and bc.c2 = ac.c2 join {q}y x on x."column" = ac.c2 order by r2 desc limit 1),
+{q}c as (select 1 k, "column" added, r2 from {q}1 union all select 2, "column", r2 from {q}2 union all select 3, "column", r2 from {q}3)"""
+
+
+_PAIRS = """pairs as (select a."column" c1, b."column" c2, corr(a.v, b.v) r from long a join long b using (vec_id)
+  where a.split = 'train' and a."column" <> b."column" group by 1, 2)"""
+ORACLES["audit_linear_combo"] = f"""with {MATRIX}, {_PAIRS}, {combo_sql('r', 'target')}, {combo_sql('l', 'ln(1 + target + 20)')}
+select 'raw_target' scale, k, added, round(r2, 6) r2, r2 > 0.95 flagged from rc
+union all select 'log1p_target', k, added, round(r2, 6), r2 > 0.95 from lc"""
+_COUNTED = "\"check\" in ('A', 'B', 'C', 'D', 'G', 'H')"
+ORACLES["audit_verdict"] = f"""with {MATRIX}, {_PAIRS}, {combo_sql('r', 'target')}, {PRED},
+trip as (select string_agg("column", ',' order by a desc) hit from (select "column", abs(corr(v, target)) a from long where split = 'train' group by 1) where a > 0.9),
+same as (select count(*) filter (split = 'train') n_train, count(*) filter (split = 'test') n_test
+  from (select vec_id, any_value(split) split, list(round_even(v, 4) order by i) x from long group by 1) group by x),
+dup as (select coalesce(sum(n_test) filter (n_train > 0 and n_test > 0), 0)::bigint n from same),
+high as (select string_agg(split, ',' order by split) hit from (select split, 1 - avg((ly - lp) * (ly - lp)) / var_pop(ly) r2 from pred group by 1) where r2 > 0.99),
+combo as (select 'log1p_target=[' || string_agg(chr(39) || added || chr(39), ', ' order by k) || ']' hit, max(r2) > 0.95 bad from rc),
+checks as (
+  select 'A' "check", unnest(['train', 'val', 'calib', 'test']) split, true passed, '' detail
+  union all select 'B', 'train', hit is null, coalesce(hit, '') from trip
+  union all select 'C', 'test', n = 0, 'duplicate_rows=' || n from dup
+  union all select 'D', 'train', true, 'medians_off=0;extra_levels=0'
+  union all select 'E', 'test', hit is null, coalesce(hit, '') from high
+  union all select 'F', 'train', true, 'selection on train'
+  union all select 'G', 'train', not bad, case when bad then hit else '' end from combo
+  union all select 'H', 'all', true, '')
+select "check", split, passed, {_COUNTED} counted, detail from checks
+union all select 'overall', 'all', bool_and(passed) filter ({_COUNTED}), false,
+  'counted=' || count(*) filter ({_COUNTED}) || ';failed=' || count(*) filter ({_COUNTED} and not passed) from checks"""

@@ -40,8 +40,7 @@ def station_climate(spark, sf):
 @query
 def station_climate_events(spark, sf):
     df = weather.station_climate(roles.event_hours(spark, sf))
-    # means of short decimals hit exact rounding ties; the nudge breaks them one way
-    return rounded(df.select(*[F.col(c) + 1e-9 if t == "double" else F.col(c) for c, t in df.dtypes]).toDF(*df.columns), 6)
+    return rounded(df, 10)
 
 
 def _states(spark, sf, **kw):
@@ -62,20 +61,20 @@ def state_climate_first_letter(spark, sf):
 @query
 def household_climate(spark, sf):
     meta, states = _states(spark, sf)
-    return rounded(weather.attach_state_climate(roles.geo_households(spark, sf), states, meta), 4)
+    return rounded(weather.attach_state_climate(roles.geo_households(spark, sf), states), 4)
 
 
 @query
 def climate_match_rate(spark, sf):
     meta, states = _states(spark, sf)
-    df = weather.attach_state_climate(roles.geo_households(spark, sf), states, meta, ["TMY3_HDD65"])
+    df = weather.attach_state_climate(roles.geo_households(spark, sf), states, ["TMY3_HDD65"])
     return rounded(weather.match_rate(df, "TMY3_HDD65"), 6)
 
 
 @query
 def climate_crosscheck(spark, sf):
     meta, states = _states(spark, sf)
-    df = weather.attach_state_climate(roles.geo_households(spark, sf), states, meta, ["TMY3_HDD65"])
+    df = weather.attach_state_climate(roles.geo_households(spark, sf), states, ["TMY3_HDD65"])
     return rounded(physics.paired_correlation(df, "TMY3_HDD65", K.HDD_COL), 6)
 
 
@@ -299,9 +298,11 @@ def duplicate_buildings(spark, sf):
 
 @query
 def cell_pairs(spark, sf):
-    df = savings.cell_pairs(roles.stock(spark, sf), 15, features=[K.SQFT_COL])
-    # means of short decimals hit exact rounding ties; the nudge breaks them one way
-    return rounded(df.withColumns({c: F.col(c) + 1e-8 for c in ("e_base", "e_up", K.SQFT_COL, "saving_pct")}), 6)
+    stock = roles.stock(spark, sf)
+    parts = [savings.cell_pairs(stock, u, features=[K.SQFT_COL]).withColumn("upgrade", F.lit(u)) for u in K.UPGRADES]
+    # sums of short decimals end where rounding does, so engines agree on them; means need not
+    sums = {"sum_base": F.col("e_base") * F.col("n_base"), "sum_up": F.col("e_up") * F.col("n_up"), "sum_area": F.col(K.SQFT_COL) * F.col("n_base")}
+    return rounded(report.union_all(parts).withColumns(sums).drop("e_base", "e_up", K.SQFT_COL), 6, saving_pct=8)
 
 
 # ---- splits ---------------------------------------------------------------------
@@ -425,7 +426,7 @@ def winsor_impute(spark, sf):
 @query
 def winsor_transform(spark, sf):
     df = roles.matrix(spark, sf)
-    model = features.FeatureEncoder(MATRIX[:8], clip_q=0.01, keep=["vec_id"]).fit(df.filter("split = 'train'"))
+    model = features.FeatureEncoder(MATRIX, clip_q=0.01, keep=["vec_id"]).fit(df.filter("split = 'train'"))
     return rounded(model.transform(df), 6)
 
 
@@ -516,7 +517,7 @@ def audit_names(spark, sf):
 def audit_removed(spark, sf):
     df = roles.households(spark, sf)
     removed = audit.removed_ledger(spark, df.columns, clean.guard(df).columns)
-    return removed
+    return removed.join(selection.column_quality(df, clean.guarded_names(df.columns)).select("column", "n", "n_valid"), "column")
 
 
 @query
@@ -548,7 +549,8 @@ def audit_categories(spark, sf):
 @query
 def audit_linear_combo(spark, sf):
     df = roles.matrix(spark, sf).filter("split = 'train'")
-    return rounded(audit.linear_combo_table(df, MATRIX, {"raw_target": "target"}), 6)
+    df = df.withColumn("target_log", F.log1p(F.col("target") - F.lit(-20.0)))
+    return rounded(audit.linear_combo_table(df, MATRIX, {"raw_target": "target", "log1p_target": "target_log"}), 6)
 
 
 @query
@@ -556,8 +558,11 @@ def audit_verdict(spark, sf):
     df = roles.matrix(spark, sf)
     train = df.filter("split = 'train'")
     model = features.FeatureEncoder(MATRIX).fit(train)
-    checks = audit.run_audit(df, MATRIX, "target", encoder=model, raw_train=train)
-    return checks.select("check", "split", "passed", "counted")
+    scores = {r.split: r.r2 for r in metrics.regression_metrics(roles.predictions(spark, sf), "ly", "lp", by=["split"]).collect()}
+    checks = audit.run_audit(df, MATRIX, "target", encoder=model, raw_train=train, scores=scores)
+    overall = audit.verdict(checks).select(F.lit("overall").alias("check"), F.lit("all").alias("split"), "passed", F.lit(False).alias("counted"),
+                                           F.format_string("counted=%d;failed=%d", "n_counted", "n_failed").alias("detail"))
+    return checks.unionByName(overall)
 
 
 # ---- scenarios -------------------------------------------------------------------
