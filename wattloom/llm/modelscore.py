@@ -115,7 +115,8 @@ class Models:
         good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct()
         rows = docs.select("doc_id", "text")
         ids = vocabulary(rows, vocabulary_size)
-        marked = rows.join(good, rows["doc_id"] == good["__good"], "left").select(F.col("__good").isNotNull().alias("good"), "text")
+        # labels grow with the corpus, so they are never sent to all tasks: one plan at every size
+        marked = rows.join(good.hint("merge"), rows["doc_id"] == good["__good"], "left").select(F.col("__good").isNotNull().alias("good"), "text")
         sums = marked.mapInArrow(_counted(ids), "place long, target long, background long").groupBy("place").agg(
             F.sum("target").alias("t"), F.sum("background").alias("b")).toArrow()        # tokens and cells at most
         counts = np.zeros((2, 2 * (len(ids) + 1) + 1 + CELLS), dtype=np.int64)
