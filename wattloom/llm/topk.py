@@ -1,6 +1,6 @@
 """Exact nearest neighbours of binary codes by incremental multi-index hashing.
 
-A 64-bit code is cut into segments of about log2(codes) bits. Round r looks up all values r
+A 64-bit code is cut into segments of a little under log2(codes) bits. Round r looks up all values r
 bits away from a query's own segment values; a code is verified once, in the first segment and
 round that reach it. After round r every code within m(r+1)-1 bits has been seen (m segments:
 some segment differs in r bits at most), so a query is done once its kth verified distance is
@@ -34,8 +34,12 @@ def sign_code(column: str = "embedding") -> Column:
 
 
 def segments(codes: int) -> list[tuple[int, int]]:
-    """(shift, width) of each segment."""
-    m = max(2, min(16, round(BITS / max(math.log2(max(codes, 2)), 1.0))))
+    """(shift, width) of each segment.
+
+    A few bits less than log2(codes): a value then has some codes of its own, and a step of the
+    radius makes fewer lookups than it finds codes.
+    """
+    m = max(2, min(16, round(BITS / max(math.log2(max(codes, 2)) - 3, 1.0))))
     cuts = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
