@@ -322,3 +322,35 @@ def test_scoring_matches_plain_counts(make, rows, spark):
     n, t, _ = m.losses("a b")
     p = [0.7 * 1.0 + 0.3 * m.tokens[0][2], 0.7 * 1.0 + 0.3 * m.tokens[0][1]]
     assert n == 2 and t == pytest.approx(-np.log(p).sum(), abs=1e-6)
+
+
+def plain_scores(docs, good):
+    """Both losses per token, from dictionaries of all words and pairs."""
+    lists = [(t or "").lower().split() for _, t, *_ in docs]
+    uni, ctx, bi = ([Counter(), Counter()] for _ in range(3))
+    for (i, *_), w in zip(docs, lists):
+        for m in (0, 1) if i in good else (1,):
+            uni[m].update(w)
+            ctx[m].update([" ", *w][:-1] if w else [])
+            bi[m].update(zip([" ", *w], w))
+    n, v = [sum(u.values()) for u in uni], len(uni[1])
+    scale = [1.0, n[0] / n[1]]
+    return [[-sum(np.log(0.7 * scale[m] * bi[m][p] / (scale[m] * ctx[m][p[0]] + 1e-9) + 0.3 * (scale[m] * uni[m][p[1]] + 0.5) / (n[0] + 0.5 * (v + 1)))
+                  for p in zip([" ", *w], w)) / len(w) for m in (0, 1)] if w else None for w in lists]
+
+
+def test_scoring_counts_all_words_and_pairs(make, rows, spark):
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"v{x}" for x in rng.integers(0, 90_000, 1500)), "en", "a") for i in range(120)]
+    docs += [(200 + i, " ".join(rng.choice(["sun", "moon", "star", "Sun"], 30)), "en", "a") for i in range(20)] + [(None, "sun moon", "en", "a"), (300, None, "en", "a")]
+    good = {*range(0, 40), *range(200, 206)}
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*good, *good]] + [(None, 1, 0), (9999, 1, 0), (50, None, 0)], "doc_id long, quality int, toxic int")
+    assert len({w for _, t, *_ in docs for w in (t or "").split()}) > 50_000
+    out = {r["doc_id"]: r for r in rows(modelscore.scores(make(docs), labels))}
+    assert len(out) == len(docs)
+    for (i, *_), want in zip(docs, plain_scores(docs, good)):
+        got = out[i]
+        if want is None:
+            assert got["tokens"] == 0 and got["score"] is None
+        else:
+            assert [got["target_loss"], got["background_loss"]] == pytest.approx(want, rel=1e-9)

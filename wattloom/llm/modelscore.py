@@ -1,157 +1,232 @@
 """Scoring documents by cross-entropy difference of two matched n-gram models.
 
 The target model is counted on documents labelled good, the background model on all
-documents. Both are interpolated bigram models over one vocabulary, the most frequent words of
-all documents, with the same smoothing; background counts are scaled to the size of the
+documents. Both are interpolated bigram models over one vocabulary, all words of all
+documents, with the same smoothing; background counts are scaled to the size of the
 target, so that the models differ in what they have seen and not in how much. A document's score is
 its cross-entropy per token under the target minus that under the background: the lower, the more
-like the target. Counts come from every document, whole; bigrams are counted by hash in
-a fixed number of cells, which bounds the models that are sent to the tasks.
+like the target.
 
-Defined cases: a null or empty text has no tokens and null scores; unknown words are one token; labels that
+Every word and every (previous, word) pair is counted exactly, by its bytes, in tables that grow with the corpus.
+Documents are dealt into blocks by doc_id. A block counts its pairs, the counts of a pair are summed over blocks (so
+that the commonest pair has a row a block at most), and the sums go back to the blocks whose own counts
+they differ from, where documents are scored. No task and no driver holds a whole model.
+
+Defined cases: a null or empty text has no tokens and null scores; labels that
 are null or lack a document are ignored, repeated labels count once; without target documents both
-models are the same and scores are 0; repeated rows count and are scored like others; texts
+models are the same and scores are 0; repeated rows count and are scored like others, in one block; texts
 of any length are read in blocks; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from wattloom.llm.common import durable, tasks_for
 from wattloom.llm.simhash import word_blocks
 
-#: Words of the shared vocabulary; all others are token 0.
-VOCABULARY = 50_000
-CELLS = 1 << 18
 BIGRAM_SHARE = 0.7
 SMOOTHING = 0.5
 #: Distinct words that a task holds before it passes its counts on.
 HELD = 200_000
+#: Tokens of a block, on average at most.
+BLOCK_TOKENS = 3_000_000
+#: The word before the first; no word has a blank.
+START = b" "
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+    """Counts by word, and (without a word) the tokens of each document."""
+    kind = None
+
+    def out(words: list, ids: pa.Array, n: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), ids, pa.array(n, pa.int64())], names=["word", "doc_id", "n"])
 
     held: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0):
+        kind, tokens = batch.column(0).type, []
+        for text in batch.column(1):
+            n = 0
             for words in word_blocks((text.as_py() or "").encode()):
                 held.update(words)
+                n += len(words)
+            tokens.append(n)
             if len(held) > HELD:
-                yield out(held)
+                yield out(list(held), pa.nulls(len(held), kind), list(held.values()))
                 held = Counter()
+        yield out([None] * len(tokens), batch.column(0), tokens)
     if held:
-        yield out(held)
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
-    """The most frequent words of all documents (ties by the word), numbered from 1."""
-    counts = docs.select("text").mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
-    return {w: i + 1 for i, w in enumerate(top.column(0).to_pylist())}
-
-
-def token_blocks(text: str, ids: dict[bytes, int]) -> Iterator[np.ndarray]:
-    """Token numbers of a text in blocks; the first entry of each is the token before it, -1 at the start."""
-    last = -1
-    for words in word_blocks(text.encode()):
-        if words:
-            block = np.fromiter(map(ids.get, words, [0] * len(words)), np.int64, len(words))
-            block = np.concatenate(([last], block))
-            last = int(block[-1])
-            yield block
-
-
-def cells(block: np.ndarray) -> np.ndarray:
-    """The cell of each bigram of a block."""
-    x = (block[:-1] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + block[1:].astype(np.uint64)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return (x >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
-
-
-def _counted(ids: dict[bytes, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(ids) + 1
-        total = np.zeros((2, 2 * size + 1 + CELLS), dtype=np.int64)      # tokens, contexts, bigrams
-        seen = False
-        for batch in batches:
-            for good, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for block in token_blocks(text.as_py() or "", ids):
-                    seen = True
-                    for row in (0, 1) if good else (1,):
-                        total[row, :size] += np.bincount(block[1:], minlength=size)
-                        total[row, size:2 * size + 1] += np.bincount(block[:-1] + 1, minlength=size + 1)
-                        total[row, 2 * size + 1:] += np.bincount(cells(block), minlength=CELLS)
-        if seen:
-            at = np.flatnonzero(total[1])
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["place", "target", "background"])
+        yield out(list(held), pa.nulls(len(held), kind), list(held.values()))
+
+
+def _good(labels: DataFrame, kind: str) -> DataFrame:
+    return labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").try_cast(kind).alias("doc_id")).distinct()
+
+
+def totals(docs: DataFrame, good: DataFrame) -> tuple[int, int, int]:
+    """Distinct words, tokens of the target and tokens of all documents."""
+    kind = dict(docs.dtypes)["doc_id"]
+    found = durable(docs.select("doc_id", "text").mapInArrow(_words, f"word binary, doc_id {kind}, n long"))
+    words = found.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")).agg(F.count(F.lit(1)), F.sum("n")).first()
+    # labels grow with the corpus, so they are never sent to all tasks: one plan at every size
+    target = found.filter("word is null and n > 0").join(good.hint("merge"), "doc_id", "left_semi").agg(F.sum("n")).first()
+    return words[0], target[0] or 0, words[1] or 0
+
+
+class Block:
+    """Tokens of some texts, their distinct pairs, and counts (target, all) of tokens, contexts and pairs."""
+
+    def __init__(self, texts: Iterator[str | None], good: np.ndarray) -> None:
+        ids: defaultdict[bytes, int] = defaultdict(count(1).__next__, {START: 0})
+        now, before, self.lengths = [], [], []
+        for text in texts:
+            last, n = 0, 0
+            for words in word_blocks((text or "").encode()):
+                if words:
+                    block = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+                    now.append(block)
+                    before.append(np.concatenate(([last], block[:-1])))
+                    last, n = int(block[-1]), n + len(words)
+            self.lengths.append(n)
+        empty = [np.empty(0, np.int64)]
+        now, before = np.concatenate(now or empty), np.concatenate(before or empty)
+        marked = np.repeat(good, self.lengths).astype(np.float64)
+        self.ids, self.size = dict(ids), len(ids)
+        self.pairs, self.place = np.unique(before << 32 | now, return_inverse=True)
+
+        def counts(at: np.ndarray, size: int) -> np.ndarray:
+            return np.array([np.bincount(at, marked, size), np.bincount(at, minlength=size)], dtype=np.int64)
+
+        self.tokens, self.contexts, self.bigrams = counts(now, self.size), counts(before, self.size), counts(self.place, len(self.pairs))
+
+    def table(self) -> pa.Table:
+        """prev, word, t, b: a token has no ``prev``, a context no ``word``."""
+        words = pa.array(list(self.ids), pa.binary())
+        none = pa.nulls(self.size, pa.binary())
+        seen = [np.flatnonzero(self.tokens[1]), np.flatnonzero(self.contexts[1])]
+        before = [none.take(pa.array(seen[0])), words.take(pa.array(seen[1])), words.take(pa.array(self.pairs >> 32))]
+        now = [words.take(pa.array(seen[0])), none.take(pa.array(seen[1])), words.take(pa.array(self.pairs & 0xFFFFFFFF))]
+        n = [np.concatenate([self.tokens[i, seen[0]], self.contexts[i, seen[1]], self.bigrams[i]]) for i in (0, 1)]
+        return pa.table({"prev": pa.concat_arrays(before), "word": pa.concat_arrays(now), "t": pa.array(n[0]), "b": pa.array(n[1])})
+
+    def put(self, sums: pa.Table) -> None:
+        """Sums over all blocks, in place of the block's own counts."""
+        before, now = (np.array([-1 if w is None else self.ids[w] for w in sums.column(c).to_pylist()], dtype=np.int64) for c in ("prev", "word"))
+        n = np.array([sums.column("t").to_numpy(), sums.column("b").to_numpy()], dtype=np.int64).reshape(2, -1)
+        token, context = before < 0, now < 0
+        pair = ~token & ~context
+        self.tokens[:, now[token]] = n[:, token]
+        self.contexts[:, before[context]] = n[:, context]
+        self.bigrams[:, np.searchsorted(self.pairs, before[pair] << 32 | now[pair])] = n[:, pair]
+
+    def losses(self, words: int, target: int, every: int) -> np.ndarray:
+        """Total loss of each text under target and background, (2, texts)."""
+        scale = np.array([[1.0], [target / max(every, 1) if target else 1.0]])
+        total = target or every
+
+        def of(n: np.ndarray) -> np.ndarray:
+            return scale * (n if target else n[[1, 1]])
+
+        tokens = (of(self.tokens) + SMOOTHING) / (total + SMOOTHING * (words + 1))        # one share is that of unseen words
+        given = of(self.bigrams) / (of(self.contexts)[:, self.pairs >> 32] + 1e-9)
+        loss = -np.log(BIGRAM_SHARE * given + (1 - BIGRAM_SHARE) * tokens[:, self.pairs & 0xFFFFFFFF])
+        ends = np.cumsum(self.lengths, dtype=np.int64)
+        out = np.zeros((2, len(self.lengths)))
+        for i, (end, n) in enumerate(zip(ends.tolist(), self.lengths)):
+            out[:, i] = loss[:, self.place[end - n:end]].sum(axis=1)
+        return out
+
+
+def _read(docs: pa.Table, good: pa.ChunkedArray) -> Block:
+    ids = set(good.to_pylist())
+    return Block((t.as_py() for t in docs.column("text")), np.array([i in ids for i in docs.column("doc_id").to_pylist()], dtype=bool))
+
+
+def _counted(docs: pa.Table, good: pa.Table) -> pa.Table:
+    out = _read(docs, good.column("doc_id")).table()
+    block = docs.column("block")[0].as_py() if len(docs) else 0
+    return out.add_column(0, "block", pa.array(np.full(len(out), block, dtype=np.int32)))
+
+
+def _scored(sizes: tuple[int, int, int]):
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        label = known.column("t").is_null()
+        block = _read(docs, known.filter(label).column("doc_id").drop_null())
+        if len(docs):
+            block.put(known.filter(known.column("t").is_valid()))
+        n = np.array(block.lengths, dtype=np.int64)
+        each = block.losses(*sizes) / np.maximum(n, 1)
+        c = [pa.array(x, pa.float64(), mask=n == 0) for x in (each[0], each[1], each[0] - each[1])]
+        return pa.table([docs.column("doc_id"), pa.array(n), *c], names=["doc_id", "tokens", "target_loss", "background_loss", "score"])
     return run
 
 
+def _block(n: int, *columns: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int").alias("block")
+
+
+def _dealt(docs: DataFrame, good: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents and target ids by block, and the counts of each block."""
+    kind = dict(docs.dtypes)["doc_id"]
+    # rows without an id are spread by their text; no label means them
+    rows = docs.select(_block(n, F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text"))), "doc_id", "text")
+    ids = good.select(_block(n, F.col("doc_id"), F.lit(None).cast("string")), F.col("doc_id").cast(kind))
+    counts = rows.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(
+        _counted, "block int, prev binary, word binary, t long, b long")
+    return rows, ids, counts
+
+
 class Models:
-    """Log-probability tables of both models: arrays (model, token), (model, context), (model, cell)."""
-
-    def __init__(self, ids: dict[bytes, int], counts: np.ndarray) -> None:
-        size = len(ids) + 1
-        scaled = counts.astype(np.float64)
-        if scaled[0, :size].sum() == 0:
-            scaled[0] = scaled[1]
-        scaled[1] *= scaled[0, :size].sum() / max(scaled[1, :size].sum(), 1.0)
-        tokens = scaled[:, :size] + SMOOTHING
-        self.ids, self.size = ids, size
-        self.tokens = tokens / tokens.sum(axis=1, keepdims=True)
-        self.contexts, self.bigrams = scaled[:, size:2 * size + 1] + 1e-9, scaled[:, 2 * size + 1:]
+    """Both models of a corpus that fits into memory, to look at them; ``scores`` never gathers one."""
+
+    def __init__(self, block: Block, sizes: tuple[int, int, int]) -> None:
+        self.counts, self.sizes = block, sizes
+        order = sorted((w for w in block.ids if w != START), key=lambda w: (-block.tokens[1, block.ids[w]], w))
+        self.ids = {w: i + 1 for i, w in enumerate(order)}
+        words, target, every = sizes
+        n = np.zeros((2, len(order) + 1))
+        n[:, 1:] = block.tokens[:, [block.ids[w] for w in order]]
+        n = n if target else n[[1, 1]]
+        n[1] *= target / max(every, 1) if target else 1.0
+        self.tokens = (n + SMOOTHING) / ((target or every) + SMOOTHING * (words + 1))
 
     @classmethod
-    def fit(cls, docs: DataFrame, labels: DataFrame, vocabulary_size: int = VOCABULARY) -> Models:
-        good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct()
-        rows = docs.select("doc_id", "text")
-        ids = vocabulary(rows, vocabulary_size)
-        # labels grow with the corpus, so they are never sent to all tasks: one plan at every size
-        marked = rows.join(good.hint("merge"), rows["doc_id"] == good["__good"], "left").select(F.col("__good").isNotNull().alias("good"), "text")
-        sums = marked.mapInArrow(_counted(ids), "place long, target long, background long").groupBy("place").agg(
-            F.sum("target").alias("t"), F.sum("background").alias("b")).toArrow()        # tokens and cells at most
-        counts = np.zeros((2, 2 * (len(ids) + 1) + 1 + CELLS), dtype=np.int64)
-        at = sums.column("place").to_numpy()
-        counts[0, at], counts[1, at] = sums.column("t").to_numpy(), sums.column("b").to_numpy()
-        return cls(ids, counts)
+    def fit(cls, docs: DataFrame, labels: DataFrame) -> Models:
+        good = _good(labels, dict(docs.dtypes)["doc_id"])
+        table, ids = docs.select("doc_id", "text").toArrow(), good.toArrow()
+        return cls(_read(table, ids.column("doc_id")), totals(docs, good))
 
     def losses(self, text: str) -> tuple[int, float, float]:
-        """Tokens, and the total loss under target and background."""
-        n, loss = 0, np.zeros(2)
-        for block in token_blocks(text, self.ids):
-            given = self.bigrams[:, cells(block)] / self.contexts[:, block[:-1] + 1]
-            p = BIGRAM_SHARE * np.minimum(given, 1.0) + (1 - BIGRAM_SHARE) * self.tokens[:, block[1:]]
-            loss -= np.log(p).sum(axis=1)
-            n += len(block) - 1
-        return n, float(loss[0]), float(loss[1])
-
-
-def _scored(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                n, t, b = models.losses(text.as_py() or "")
-                rows.append((n, t / n, b / n, (t - b) / n) if n else (0, None, None, None))
-            c = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c[0], pa.int64()), *[pa.array(x, pa.float64()) for x in c[1:]]],
-                                             names=["doc_id", "tokens", "target_loss", "background_loss", "score"])
-    return run
+        """Tokens, and the total loss under target and background; words and pairs have to be known."""
+        own, known = Block([text], np.zeros(1, dtype=bool)), self.counts.table()
+        mine = set(_keys(own.table()))
+        own.tokens[:], own.contexts[:], own.bigrams[:] = 0, 0, 0
+        own.put(known.take(pa.array([i for i, x in enumerate(_keys(known)) if x in mine], pa.int64())))
+        loss = own.losses(*self.sizes)
+        return own.lengths[0], float(loss[0, 0]), float(loss[1, 0])
+
+
+def _keys(table: pa.Table) -> list[tuple[bytes | None, bytes | None]]:
+    return list(zip(table.column("prev").to_pylist(), table.column("word").to_pylist()))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, tokens, loss per token under target and background, and their difference."""
-    shared = docs.sparkSession.sparkContext.broadcast(Models.fit(docs, labels))
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(
-        _scored(shared), f"doc_id {kind}, tokens long, target_loss double, background_loss double, score double")
+    good = _good(labels, kind)
+    sizes = totals(docs, good)
+    rows, ids, counts = _dealt(docs, good, max(tasks_for(docs.sparkSession), -(-sizes[2] // BLOCK_TOKENS)))
+    same = Window.partitionBy("prev", "word")
+    sums = counts.withColumns({"t": F.sum("t").over(same), "b": F.sum("b").over(same), "blocks": F.count(F.lit(1)).over(same)})
+    known = sums.filter("blocks > 1").select("block", F.lit(None).cast(kind).alias("doc_id"), "prev", "word", "t", "b").unionByName(
+        ids, allowMissingColumns=True)
+    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+        _scored(sizes), f"doc_id {kind}, tokens long, target_loss double, background_loss double, score double")
