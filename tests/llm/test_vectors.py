@@ -97,6 +97,47 @@ def test_pipeline_takes_effect(spark, sf):
     assert ids <= {r.doc_id for r in clean.select("doc_id").collect()} and out.count() >= len(ids) > 0
 
 
+def plain_near_copies(docs):
+    """The doc_id kept of each group of texts at 0.8 or more, all pairs compared."""
+    sets = []
+    for _, t in docs:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, (doc, _) in enumerate(docs):
+        groups.setdefault(find(i), []).append(doc)
+    return sorted((min((d for d in g if d is not None), default=None) for g in groups.values()), key=lambda d: (d is None, d))
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline as p
+    rng = np.random.default_rng(5)
+    docs = []
+    for k in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        for i in range(7):                          # similarity falls from 1 to about 0.6
+            t = list(base)
+            for at in rng.choice(190, i, replace=False) if i % 2 else range(0, 12 * i, 6):
+                t[at] = f"x{rng.integers(0, 10**9)}"
+            docs.append((100 * k + i, " ".join(t)))
+    docs += [(5000, None), (5001, ""), (5002, "one two"), (5003, "One  two"), (5004, "two one"), (None, docs[0][1]), (3, docs[0][1]), (3, docs[0][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id for r in p.drop_near_copies(spark, df, "").collect()), key=lambda d: (d is None, d))
+    assert got == plain_near_copies(docs)
+    assert p.drop_near_copies(spark, df.limit(0), "").count() == 0
+
+
 def test_registered_queries():
     import __spark_entry__ as entry
     names = [k for k in entry.queries() if k.startswith("op")]
