@@ -299,6 +299,19 @@ def test_licenses(make, rows, odd):
     assert len(out) == len(texts) + len(odd) and not any(found[i] for i, *_ in odd)
 
 
+def test_wrapped_licenses(make, rows):
+    mit = "/*\n * Copyright (c) someone\n *\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n" \
+          " * of this software and associated documentation files (the \"Software\"), to deal\n * in the Software without restriction\n */"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    gpl = "intro\n\nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n" \
+          "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    cut = "Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof nothing"
+    texts = {1: mit, 2: bsd, 3: gpl, 4: f"{bsd}\n{bsd}", 5: cut, 6: "Released under\nthe MIT License."}
+    out = {r["doc_id"]: r for r in rows(licenses.scan(make([(i, t, "en", "a") for i, t in texts.items()])))}
+    assert [out[i]["families"] for i in texts] == [["mit"], ["bsd"], ["gpl"], ["bsd"], [], ["mit"]]
+    assert [[(f["line"], f["last_line"]) for f in out[i]["findings"]] for i in texts] == [[(3, 4)], [(0, 2)], [(2, 4)], [(0, 2), (3, 5)], [], [(0, 1)]]
+
+
 def test_scoring_prefers_the_target(make, rows, spark, odd):
     rng = np.random.default_rng(0)
     good = [(2000 + i, " ".join(rng.choice(["sun", "moon", "star"], 40)), "en", "a") for i in range(40)]

@@ -1,6 +1,7 @@
 """License scan: a trained paragraph classifier, confirmed by templates.
 
-Each line of a text is a paragraph. A multinomial logistic regression over its word unigrams and
+Each line of a text is a paragraph, and so is each run of neighbouring non-blank lines that holds ``CONFIRM`` of a
+template's shingles in their order, as hard-wrapped notices do; a finding gives its first and last line. A multinomial logistic regression over its word unigrams and
 bigrams gives one of the license families or the unknown class. It is trained on variants of
 the templates and, as unknown, on half templates, mixtures of them and sampled paragraphs of the
 corpus that share no template. The least probability at which a family counts is calibrated on held-out
@@ -74,6 +75,37 @@ def shingles(w: list[str]) -> set[tuple[str, ...]]:
 _TEMPLATE_SHINGLES = {family: [shingles(words(t)) for t in texts] for family, texts in TEMPLATES.items()}
 
 
+#: Template and place of every shingle, and the words that follow a first word.
+_PLACES: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+_LENGTHS: list[int] = []
+for _text in (t for texts in TEMPLATES.values() for t in texts):
+    _own = words(_text)
+    for _i in range(max(1, len(_own) - SHINGLE + 1)):
+        _PLACES.setdefault(tuple(_own[_i:_i + SHINGLE]), []).append((len(_LENGTHS), _i))
+    _LENGTHS.append(max(1, len(_own) - SHINGLE + 1))
+_NEXT: dict[str, set[str]] = {}
+for _s in _PLACES:
+    _NEXT.setdefault(_s[0], set()).update(_s[1:2])
+
+
+def runs(w: list[str]) -> list[tuple[int, int]]:
+    """First and last word of each run that holds ``CONFIRM`` of a template's shingles, in order."""
+    at: dict[int, list[tuple[int, int]]] = {}
+    for i in range(len(w) - SHINGLE + 1):
+        if w[i] in _NEXT and w[i + 1] in _NEXT[w[i]]:
+            for template, place in _PLACES.get(tuple(w[i:i + SHINGLE]), ()):
+                at.setdefault(template, []).append((i, place))
+    found = set()
+    for template, hits in at.items():
+        start = 0
+        for k in range(1, len(hits) + 1):           # the next notice begins where the places do not go on
+            if k == len(hits) or hits[k][1] <= hits[k - 1][1] or hits[k][0] - hits[k - 1][0] > 2 * _LENGTHS[template]:
+                if k - start >= CONFIRM * _LENGTHS[template]:
+                    found.add((hits[start][0], hits[k - 1][0] + SHINGLE - 1))
+                start = k
+    return sorted(found)
+
+
 def agreement(w: list[str], family: str) -> float:
     """The largest share of a template's shingles that the paragraph has."""
     own = shingles(w)
@@ -152,22 +184,40 @@ def background(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
     return sorted(r[0] for r in chosen.filter("p is not null").limit(sample).collect())
 
 
+def findings(model: Classifier, text: str) -> list[dict]:
+    """Lines, and runs of lines, of a text that are license notices."""
+    lines = [words(x) for x in text.split("\n")]
+    found = []
+
+    def add(first: int, last: int, w: list[str]) -> None:
+        family, p, same = model.family(w)
+        if family != UNKNOWN and not any(x["family"] == family and x["line"] <= last and first <= x["last_line"] for x in found):
+            found.append({"line": first, "last_line": last, "family": family, "probability": p, "agreement": same})
+
+    for i, w in enumerate(lines):
+        if not model.known.isdisjoint(w):
+            add(i, i, w)
+    i = 0
+    while i < len(lines):
+        end = i
+        while end < len(lines) and lines[end]:
+            end += 1
+        if end - i > 1:
+            joined, line = [x for w in lines[i:end] for x in w], [k for k in range(i, end) for _ in lines[k]]
+            for a, b in runs(joined):
+                if line[a] < line[b]:               # a run within one line has been seen
+                    add(line[a], line[b], joined[a:b + 1])
+        i = max(end, i + 1)
+    return sorted(found, key=lambda x: (x["line"], x["last_line"], x["family"]))
+
+
 def _scanned(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Classifier = shared.value
-        kind = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("agreement", pa.float64())]))
+        kind = pa.list_(pa.struct([("line", pa.int32()), ("last_line", pa.int32()), ("family", pa.string()),
+                                   ("probability", pa.float64()), ("agreement", pa.float64())]))
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                found = []
-                for i, line in enumerate((text.as_py() or "").split("\n")):
-                    w = words(line)
-                    if model.known.isdisjoint(w):
-                        continue
-                    family, p, same = model.family(w)
-                    if family != UNKNOWN:
-                        found.append({"line": i, "family": family, "probability": p, "agreement": same})
-                out.append(found)
+            out = [findings(model, text.as_py() or "") for text in batch.column(1)]
             first = [sorted({x["family"] for x in f}) for f in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.list_(pa.string())), pa.array(out, kind)],
                                              names=["doc_id", "families", "findings"])
@@ -175,9 +225,9 @@ def _scanned(shared):
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, families (sorted), findings (line, family, probability, agreement) for every document."""
+    """doc_id, families (sorted), findings (line, last_line, family, probability, agreement) for every document."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Classifier.fit(spark, background(docs.select("doc_id", "text"))))
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(
-        _scanned(shared), f"doc_id {kind}, families array<string>, findings array<struct<line:int,family:string,probability:double,agreement:double>>")
+        _scanned(shared), f"doc_id {kind}, families array<string>, findings array<struct<line:int,last_line:int,family:string,probability:double,agreement:double>>")
