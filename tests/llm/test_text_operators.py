@@ -289,6 +289,18 @@ def test_toxicity_learns_and_keeps_clean(make, rows, spark, odd):
     assert toxicity.scores(make([]), lab).count() == 0
 
 
+def test_toxicity_cut_with_wrong_labels():
+    p = np.linspace(0.99, 0.01, 1000)
+    truth = np.arange(1000) < 200
+    y = truth.astype(float)
+    clean = toxicity.best_cut(p, y)
+    assert (p >= clean).sum() == 200
+    y[4:200:20] = 0                                 # one label of twenty flipped, from near the top on
+    y[300::70] = 1
+    assert 190 <= (p >= toxicity.best_cut(p, y)).sum() <= 210
+    assert toxicity.best_cut(p, np.zeros(1000)) == toxicity.REJECT_AT
+
+
 def test_licenses(make, rows, odd):
     texts = {1001: "intro text here\nReleased under the MIT License.\nmore text", 1002: "Licensed under the Apache License, Version 2.0.",
              1003: "the license of nature is under no version of public work", 1004: "This work is licensed under the GNU General Public License, version 3.",

@@ -139,17 +139,23 @@ class Link:
 
 
 def best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability from which on a flag counts: the best F1 out of fold at ``PRECISION``, in the middle of its gap; 0.5 if there is none."""
+    """The probability from which on a flag counts, in the middle of its gap: the best F1 out of fold at ``PRECISION``, or, where that
+    finds less than half of what the best F1 of all does (wrong labels at the top of the ranking), the latter; 0.5 if there is none."""
     if not y.sum():
         return REJECT_AT
     order = np.argsort(-p, kind="stable")
     p, hits = p[order], np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
     f1[:-1][p[:-1] == p[1:]] = 0        # a cut falls between different values only
-    f1[hits < PRECISION * np.arange(1, len(p) + 1)] = 0
+    free = int(np.argmax(f1))
+    precise = np.where(hits < PRECISION * np.arange(1, len(p) + 1), 0, f1)
     if not f1.any():
         return REJECT_AT
-    at = int(np.argmax(f1))
+    at = int(np.argmax(precise)) if precise.any() else None
+    if at is None or 2 * hits[at] < hits[free]:
+        if 2 * hits[free] <= free + 1:      # mostly wrong: the ranking says nothing
+            return REJECT_AT
+        at = free
     return float((p[at] + (p[at + 1] if at + 1 < len(p) else 0.0)) / 2)
 
 
