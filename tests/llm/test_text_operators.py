@@ -311,6 +311,12 @@ def test_licenses(make, rows, odd):
     assert len(out) == len(texts) + len(odd) and not any(found[i] for i, *_ in odd)
 
 
+def test_background_has_whole_paragraphs(make):
+    text = " ".join(f"word{i}" for i in range(2000)) + " lastword"
+    got = licenses.background(make([(1, text, "en", "a"), (2, "Released under the MIT License.", "en", "a")]).select("doc_id", "text"))
+    assert got == [licenses.grams(licenses.words(text))]
+
+
 def test_wrapped_licenses(make, rows):
     mit = "/*\n * Copyright (c) someone\n *\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n" \
           " * of this software and associated documentation files (the \"Software\"), to deal\n * in the Software without restriction\n */"

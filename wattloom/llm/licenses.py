@@ -139,7 +139,10 @@ class Classifier:
         self.known = {x for g in weights for x in g.split()}
 
     def probabilities(self, w: list[str]) -> np.ndarray:
-        z = self.intercept + sum((self.weights[g] for g in grams(w) if g in self.weights), np.zeros(len(self.families)))
+        return self.of(grams(w))
+
+    def of(self, found: list[str]) -> np.ndarray:
+        z = self.intercept + sum((self.weights[g] for g in found if g in self.weights), np.zeros(len(self.families)))
         e = np.exp(z - z.max())
         return e / e.sum()
 
@@ -154,34 +157,39 @@ class Classifier:
         return (name if same >= CONFIRM else UNKNOWN), float(p[i]), same
 
     @classmethod
-    def fit(cls, spark: SparkSession, background: list[str]) -> Classifier:
-        rows = examples()
-        template = set().union(*[s for ts in _TEMPLATE_SHINGLES.values() for s in ts])
-        rows += [(UNKNOWN, w) for w in map(words, background) if w and not shingles(w) & template]
+    def fit(cls, spark: SparkSession, background: list[list[str]]) -> Classifier:
+        """``background``: the grams of paragraphs that are no notice."""
+        rows = [(f, grams(w)) for f, w in examples()] + [(UNKNOWN, g) for g in background]
         families = sorted({f for f, _ in rows})
-        train = [(families.index(f), grams(w)) for i, (f, w) in enumerate(rows) if i % 5]
-        held = [(f, w) for i, (f, w) in enumerate(rows) if not i % 5]
+        train = [(families.index(f), g) for i, (f, g) in enumerate(rows) if i % 5]
+        held = [(f, g) for i, (f, g) in enumerate(rows) if not i % 5]
         df = spark.createDataFrame([(float(y), g) for y, g in train], "label double, grams array<string>")
         counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2).fit(df)
         model = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=60, standardization=False).fit(counter.transform(df))
         matrix = model.coefficientMatrix.toArray()
         weights = {g: matrix[:, j].copy() for j, g in enumerate(counter.vocabulary) if matrix[:, j].any()}
         fitted = cls(families, weights, model.interceptVector.toArray(), 0.0)
-        guesses = [(f, fitted.probabilities(w)) for f, w in held]
+        guesses = [(f, fitted.of(g)) for f, g in held]
         wrong = sorted(float(p.max()) for f, p in guesses if families[int(p.argmax())] not in (f, UNKNOWN))
         allowed = int(FALSE_RATE * len(held))
         fitted.least = min(0.99, max(0.5, wrong[-1 - allowed] + 1e-6 if len(wrong) > allowed else 0.0))
         return fitted
 
 
-def background(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """Paragraphs of the corpus, one at most from each of the documents with the smallest hashes."""
+def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [w for w in (words(p.as_py()) for p in batch.column(0)) if w and not any(s in _PLACES for s in shingles(w))]
+        yield pa.RecordBatch.from_arrays([pa.array([grams(w) for w in found], pa.list_(pa.string()))], names=["grams"])
+
+
+def background(docs: DataFrame, sample: int = SAMPLE) -> list[list[str]]:
+    """Distinct grams of whole paragraphs that share no template, one at most from each of the documents with the smallest hashes."""
     ids = (docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("doc_id").alias("h"))
            .orderBy("h", "doc_id").limit(sample).select(F.col("doc_id").alias("__id")).distinct())
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
     nth = F.get(lines, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.size(lines), F.lit(1))).cast("int"))
-    chosen = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi").select(F.substring(nth, 1, 2000).alias("p"))
-    return sorted(r[0] for r in chosen.filter("p is not null").limit(sample).collect())
+    chosen = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi").select(nth.alias("p"))
+    return sorted(r[0] for r in chosen.filter("p is not null").limit(sample).mapInArrow(_reduced, "grams array<string>").collect())
 
 
 def findings(model: Classifier, text: str) -> list[dict]:
