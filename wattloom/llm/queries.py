@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm import language, licenses, mixing, modelscore, packing, repeats, simhash, topk, toxicity, vectors
+from wattloom.llm import language, licenses, mixing, modelscore, packing, repeats, secrets, simhash, topk, toxicity, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,11 @@ def op7_scoring(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents"))
+
+
+@query
+def op11_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.digest(table(spark, sf, "documents"))
+
+
+ORACLES["op11_secrets"] = secrets.ORACLE
