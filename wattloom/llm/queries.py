@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm import language, licenses, mixing, modelscore, packing, repeats, secrets, simhash, topk, toxicity, vectors
+from wattloom.llm import language, licenses, mixing, modelscore, packing, repeats, secrets, simhash, topk, toxicity, turns, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,8 @@ def op11_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLES["op11_secrets"] = secrets.ORACLE
+
+
+@query
+def op12_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return turns.digest(table(spark, sf, "conversations"))
