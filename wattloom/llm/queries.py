@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm import language, licenses, mixing, modelscore, packing, repeats, secrets, simhash, topk, toxicity, turns, vectors
+from wattloom.llm import language, licenses, mixing, modelscore, packing, phrases, repeats, secrets, simhash, topk, toxicity, turns, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,11 @@ ORACLES["op11_secrets"] = secrets.ORACLE
 @query
 def op12_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return turns.digest(table(spark, sf, "conversations"))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+ORACLES["op13_phrases"] = phrases.ORACLE
