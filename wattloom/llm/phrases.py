@@ -2,7 +2,7 @@
 
 The texts are cut into shards of about ``SHARD`` words, one language each, while they are read: the words become ids of
 the shard, the boundaries of pieces become 0. Words are counted over all shards, and those that are frequent
-enough get global ids, which go back to the shards that hold them. A shard then builds the suffix orders of its ids and of their
+enough get dense global ids (below 2^31: two fit in a long), which go back to the shards that hold them. A shard then builds the suffix orders of its ids and of their
 reverse (to the depth of the longest phrase), their Burrows-Wheeler transforms, and extends intervals:
 a phrase to the left in the one transform, to the right in the other, keeping both intervals in step. The extensions of all intervals of
 one length are found at once by sorting the symbols that the transform holds in them, so each
@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from wattloom.llm.common import durable
 
-SHARD = 1 << 21
+SHARD = 3 << 19
 #: Texts handed to the Arrow kernels at once, in bytes.
 BLOCK = 1 << 24
 LONGEST = 4
@@ -139,7 +139,7 @@ class Index:
             behind = np.zeros(n, np.int64)
             behind[:n - span] = rank[span:] + 1 if n > span else 0
             key = rank * (width + 1) + behind
-            _, rank = np.unique(key, return_inverse=True)
+            rank = np.unique(key, return_inverse=True)[1]
             width, span = int(rank.max()) + 1, span * 2
         order = np.argsort(rank, kind="stable")
         before = ids[order - 1].astype(np.int64)
@@ -160,15 +160,15 @@ class Index:
         size = high - low
         owner = np.repeat(np.arange(len(low)), size)
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[owner]
-        symbol = transform[place]
-        keys, first, count = np.unique(owner * (self.symbols + 1) + symbol, return_index=True, return_counts=True)
+        keys, first, count = np.unique(owner * (self.symbols + 1) + transform[place], return_index=True, return_counts=True)
+        place = place[first]
         owner, symbol = np.divmod(keys, self.symbols + 1)
         # smaller symbols of the same interval come first in the other order
         run = np.cumsum(count) - count
         heads = np.searchsorted(owner, owner)
         new_other = other[owner] + run - run[heads]
         # the first occurrence in the interval says how often the symbol comes before it
-        new_low = self.starts[symbol] + self._ranks(to_left)[place[first]]
+        new_low = self.starts[symbol] + self._ranks(to_left)[place]
         keep = symbol > 0
         mine, others = (new_low, new_low + count), (new_other, new_other + count)
         both = (*mine, *others) if to_left else (*others, *mine)
@@ -223,39 +223,42 @@ def _squeezed(ids: np.ndarray) -> np.ndarray:
     return ids[keep]
 
 
-PAIRS = "shard long, w1 long, w2 long, n long"
+PAIRS = "shard long, p long, n long"
+
+
+def _packed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a << 32 | b
 
 
 def _pairs(parts: pa.Table, known: pa.Table) -> pa.Table:
     """All pairs of known words of one shard with their counts."""
     if not len(parts) or not len(known):
-        return pa.table({c: pa.array([], pa.int64()) for c in ("shard", "w1", "w2", "n")})
+        return pa.table({c: pa.array([], pa.int64()) for c in ("shard", "p", "n")})
     ids, names = _known(_sequence(parts), known.column("number").to_numpy(), known.column("id").to_numpy())
     table, n = next(phrases(ids, len(names) - 1, range(2, 3)))
-    shard = np.full(len(n), parts.column("shard")[0].as_py())
-    return pa.table({"shard": shard, "w1": names[table[:, 0]], "w2": names[table[:, 1]], "n": n})
+    return pa.table({"shard": np.full(len(n), parts.column("shard")[0].as_py()), "p": _packed(names[table[:, 0]], names[table[:, 1]]), "n": n})
 
 
-LONGER = "w1 long, w2 long, w3 long, w4 long, n long"
+LONGER = "p long, q long, n long"
 
 
 def _longer(parts: pa.Table, known: pa.Table) -> pa.Table:
-    """All phrases of three and four words of one shard whose pairs are all known; w4 is -1 in the shorter ones.
+    """All phrases of three and four words of one shard whose pairs are all known: p, q hold two ids each, the last one is 0 in the shorter ones.
 
-    ``known`` has rows (number, a: word) and (a, b: pair).
+    ``known`` has rows of words (number, id) and of pairs (id: both words).
     """
-    pair = known.filter(pc.is_valid(known.column("b")))
-    word = known.filter(pc.is_null(known.column("b")))
-    none = pa.table({c: pa.array([], pa.int64()) for c in ("w1", "w2", "w3", "w4", "n")})
+    pair = known.filter(pc.is_null(known.column("number")))
+    word = known.filter(pc.is_valid(known.column("number")))
+    none = pa.table({c: pa.array([], pa.int64()) for c in ("p", "q", "n")})
     if not len(parts) or not len(pair):
         return none
-    ids, names = _known(_sequence(parts), word.column("number").to_numpy(), word.column("a").to_numpy())
+    ids, names = _known(_sequence(parts), word.column("number").to_numpy(), word.column("id").to_numpy())
     order = np.argsort(names)
 
-    def local(c: str) -> np.ndarray:
-        return order[np.searchsorted(names, pair.column(c).to_numpy(), sorter=order)].astype(np.int64)
-    wide = len(names)
-    keys = np.sort(local("a") * wide + local("b"))
+    def local(ids: np.ndarray) -> np.ndarray:
+        return order[np.searchsorted(names, ids, sorter=order)].astype(np.int64)
+    wide, both = len(names), pair.column("id").to_numpy()
+    keys = np.sort(local(both >> 32) * wide + local(both & 0xFFFFFFFF))
     both = ids[:-1].astype(np.int64) * wide + ids[1:]
     near = np.searchsorted(keys, both)
     joined = keys[np.minimum(near, len(keys) - 1)] == both
@@ -265,8 +268,8 @@ def _longer(parts: pa.Table, known: pa.Table) -> pa.Table:
     ids = _squeezed(np.concatenate([runs[np.column_stack([~before, after | before])], [0]]))
     out = [none]
     for table, n in phrases(ids, len(names) - 1, range(3, LONGEST + 1)):
-        columns = [names[table[:, i]] for i in range(table.shape[1])] + [np.full(len(n), -1)] * (LONGEST - table.shape[1])
-        out.append(pa.table({**{f"w{i + 1}": c for i, c in enumerate(columns)}, "n": n}))
+        w = [names[table[:, i]] for i in range(table.shape[1])] + [np.zeros(len(n), np.int64)] * (LONGEST - table.shape[1])
+        out.append(pa.table({"p": _packed(w[0], w[1]), "q": _packed(w[2], w[3]), "n": n}))
     return pa.concat_tables(out)
 
 
@@ -278,23 +281,37 @@ def counted(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
         _shards, "shard long, lang string, pos int, word string, n long, ids binary"))
     words, parts = shards.filter("word is not null"), shards.filter("ids is not null").select("shard", "pos", "n", "ids")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = durable(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-                       .withColumn("id", F.monotonically_increasing_id() + 1))
-    known = words.select("shard", "lang", "pos", "word").join(frequent.select("lang", "word", "id"), ["lang", "word"]).select(
-        F.col("shard").alias("to"), F.col("pos").alias("number"), "id")
-    # a pair has one row per shard at most; its total goes to each of them in the same shuffle
+    # a word has one row per shard at most, and so has a pair: totals go to each of them in the same shuffle
+    common = durable(words.select("shard", "lang", "pos", "word", F.sum("n").over(Window.partitionBy("lang", "word")).alias("f"))
+                     .filter(F.col("f") >= least))
+    frequent = numbered(common.groupBy("lang", "word").agg(F.max("f").alias("f")))
+    known = durable(common.select("shard", "lang", "pos", "word").join(frequent.select("lang", "word", "id"), ["lang", "word"]).select(
+        F.col("shard").alias("to"), F.col("pos").alias("number"), "id"))
     pairs = parts.groupBy("shard").cogroup(known.groupBy("to")).applyInArrow(_pairs, PAIRS)
-    kept = durable(pairs.withColumn("f", F.sum("n").over(Window.partitionBy("w1", "w2"))).filter(F.col("f") >= least))
-    more = known.select("to", "number", F.col("id").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(
-        kept.select(F.col("shard").alias("to"), F.lit(None).cast("int").alias("number"), F.col("w1").alias("a"), F.col("w2").alias("b")))
+    kept = durable(pairs.withColumn("f", F.sum("n").over(Window.partitionBy("p"))).filter(F.col("f") >= least))
+    more = known.unionByName(kept.select(F.col("shard").alias("to"), F.lit(None).cast("int").alias("number"), F.col("p").alias("id")))
     longer = (parts.groupBy("shard").cogroup(more.groupBy("to")).applyInArrow(_longer, LONGER)
-              .groupBy("w1", "w2", "w3", "w4").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
+              .groupBy("p", "q").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
+
+    def both(c: str):
+        return F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
     grams = (frequent.select(F.array("id").alias("g"), "f")
-             .unionByName(kept.groupBy("w1", "w2").agg(F.max("f").alias("f")).select(F.array("w1", "w2").alias("g"), "f"))
-             .unionByName(longer.select(F.filter(F.array("w1", "w2", "w3", "w4"), lambda w: w >= 0).alias("g"), "f")))
+             .unionByName(kept.groupBy("p").agg(F.max("f").alias("f")).select(F.array(*both("p")).alias("g"), "f"))
+             .unionByName(longer.select(F.filter(F.array(*both("p"), *both("q")), lambda w: w > 0).alias("g"), "f")))
     return durable(grams), frequent, totals
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows``, stored, with dense ids from 1: the rows of the partitions before, plus the place in the own one."""
+    at = durable(rows.withColumn("at", F.monotonically_increasing_id()))
+    before, offsets = 1, []
+    for r in at.groupBy(F.shiftright("at", 33).cast("int").alias("part")).count().orderBy("part").collect():     # one number per partition
+        offsets.append((r.part, before))
+        before += r["count"]
+    start = F.map_from_arrays(F.array(*[F.lit(p) for p, _ in offsets]).cast("array<int>"), F.array(*[F.lit(b) for _, b in offsets]).cast("array<long>"))
+    return at.withColumn("id", F.try_element_at(start, F.shiftright("at", 33).cast("int")) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at")
+
+
 def scored(grams: DataFrame) -> DataFrame:
     """Candidates that no longer phrase stands for: g, a, l, r, score (decimals are exact there)."""
     long = grams.filter(F.size("g") > 1)
