@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,23 @@ def sentinel_counts(df: DataFrame, columns: Sequence[str] | None = None,
         for c in targets])))
 
 
+def observed(df: DataFrame, counts: Mapping[str, Column], name: str = "counts") -> tuple[DataFrame, Observation]:
+    """``df`` and an observation that holds ``counts`` (aggregates over its rows) once an action has read all of it.
+
+    The counts are taken as the rows go by, so whatever writes the frame needs no scan of its own for them.
+    """
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(n) for n, c in counts.items()]), seen
+
+
+def observed_sentinels(df: DataFrame, columns: Sequence[str] | None = None, codes: Sequence[int] = K.MISSING_CODES,
+                       name: str = "sentinels") -> tuple[DataFrame, Observation]:
+    """Codes replaced by NULL, the replaced ones counted per column in the same pass."""
+    targets = numeric_columns(df) if columns is None else list(columns)
+    df, seen = observed(df, {c: F.count_if(_is_sentinel(c, codes)) for c in targets}, name)
+    return sentinels_to_null(df, targets, codes), seen
+
+
 def energy_intensity(df: DataFrame, total: str = K.TOTAL_COL, area: str = K.SQFT_COL,
                      enduses: Mapping[str, str] = K.ENDUSE_BTU) -> DataFrame:
     """``EUI``, and ``EUI_x`` / ``SHARE_x`` per end use; absent end uses become NULL."""

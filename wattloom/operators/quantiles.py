@@ -188,3 +188,61 @@ def exact_percentiles(df: DataFrame, values: Mapping[str, Column | str],
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     return {c: v[0] for c, v in exact_percentiles(df, {c: c for c in columns}, [0.5]).items()}
+
+
+def grouped_quantiles(df: DataFrame, group: str, value: str, q: float, weight: str, accuracy: int = 200,
+                      direct_rows: int = DIRECT_ROWS) -> dict:
+    """Exact weighted lower quantile of ``value`` per group: the least value with at least ``q`` of the weight at or below it.
+
+    For few groups (a dictionary of them comes back), of any size each: a sketch per group proposes values, one grouped pass
+    weighs the rows between them, and the bracket that holds the quantile is searched again until the rows in all
+    brackets are few enough to read.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w")).filter(
+        "v is not null and w > 0")
+
+    def per_group(values: Mapping) -> Column:
+        return F.map_from_arrays(F.array(*[F.lit(g) for g in values]), F.array(*[
+            F.array(*[F.lit(float(x)) for x in v]) for v in values.values()]))
+    whole = rows.groupBy("g").agg(F.sum("w").alias("w"), F.max("v").alias("top")).collect()
+    goal = {r.g: q * r.w * (1 - 1e-12) for r in whole}
+    # lo < quantile <= hi, the rows up to lo weigh ``below``
+    open_ = {r.g: (0.0, float("-inf"), r.top) for r in whole}
+    out: dict = {}
+    for _ in range(MAX_PASSES):
+        if not open_:
+            return out
+        inside = rows.withColumn("b", F.try_element_at(per_group({g: b[1:] for g, b in open_.items()}), F.col("g"))).filter(
+            "v > b[0] and v < b[1]").select("g", "v", "w")
+        sketch = {r.g: r for r in inside.groupBy("g").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"),
+            F.percentile_approx("v", [i / 32 for i in range(1, 32)], accuracy).alias("c")).collect()}
+        for g, (below, _, hi) in list(open_.items()):
+            if g not in sketch or below + sketch[g].w < goal[g]:
+                out[g] = hi                             # everything under hi weighs too little
+                del open_[g]
+        cuts = {g: sorted(set(sketch[g].c)) for g in open_}
+        if not cuts:
+            return out
+        if sum(sketch[g].n for g in open_) <= direct_rows:
+            weights = {g: open_[g][0] for g in open_}
+            for r in sorted(inside.groupBy("g", "v").agg(F.sum("w").alias("w")).collect(), key=lambda r: r.v):
+                if r.g in open_:
+                    weights[r.g] += r.w
+                    if r.g not in out and weights[r.g] >= goal[r.g]:
+                        out[r.g] = r.v
+            return out | {g: open_[g][2] for g in open_ if g not in out}
+        at = F.size(F.filter(F.try_element_at(per_group(cuts), F.col("g")), lambda c: c < F.col("v")))
+        parts: dict = {g: {} for g in cuts}
+        for r in inside.groupBy("g", at.alias("i")).agg(F.sum("w").alias("w")).collect():
+            if r.g in parts:
+                parts[r.g][r.i] = r.w
+        for g, c in cuts.items():
+            below, lo, hi = open_[g]
+            for i in range(len(c) + 1):
+                more = below + parts[g].get(i, 0.0)
+                if more >= goal[g] or i == len(c):
+                    open_[g] = (below, c[i - 1] if i else lo, c[i] if i < len(c) else hi)
+                    break
+                below = more
+    raise RuntimeError("a bracket did not become small; do the values change between scans?")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -296,6 +296,32 @@ def ordered_pairs(base: DataFrame, up: DataFrame, order: str, energy: str = K.ST
             .withColumn("saving_pct", saving_pct(F.col("e_base"), F.col("e_up"))))
 
 
+def positions(df: DataFrame, place: str = "position") -> DataFrame:
+    """``df``, read from Parquet files, with each row's place over all files in the order of their paths.
+
+    A row's place within its file comes with the scan, and only the row counts of the files are added up, so no row is
+    numbered by a pass over the ones before it. The metadata columns have to be reachable: call this on the scan.
+    """
+    at = df.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    files = at.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
+    ahead = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)      # one row per file
+    starts = files.select("_file", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    return at.join(starts, "_file").withColumn(place, F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+
+
+def positional_pairs(base: DataFrame, up: DataFrame, energy: str = K.STOCK_ENERGY_COL) -> DataFrame:
+    """Rows of two Parquet tables paired by their place; refused if the tables have different numbers of rows.
+
+    For files of one simulation batch, which list the same buildings in the same order without ids.
+    """
+    sizes = [d.count() for d in (base, up)]
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"positional pairing needs equal row counts, found {sizes[0]} and {sizes[1]}")
+    upgraded = positions(up).select("position", _energy(energy).alias("e_up"))
+    return (positions(base).withColumn("e_base", _energy(energy)).join(upgraded, "position")
+            .withColumn("saving_pct", saving_pct(F.col("e_base"), F.col("e_up"))))
+
+
 def pair_cell_keys(df: DataFrame, keys: Sequence[str] = K.PAIR_KEYS, area: str = K.SQFT_COL,
                    bin_ft2: float = 500.0) -> dict[str, Column]:
     """Coarsened text keys: area in half-even rounded bins, missing as 'NA'."""

@@ -31,13 +31,17 @@ def station_climate(hourly: DataFrame, base_c: float = K.DEGREE_DAY_BASE_C,
         aggs += [F.avg(c).alias(f"TMY3_{s}_mean"), F.stddev_samp(c).alias(f"TMY3_{s}_std"),
                  F.max(c).alias(f"TMY3_{s}_max")]
     aggs.append(F.count(F.lit(1)).alias("TMY3_n_hours"))
-    out = rows.filter(F.col("station_number").isNotNull()).groupBy("station_number").agg(*aggs)
+    return derived_features(rows.filter(F.col("station_number").isNotNull()).groupBy("station_number").agg(*aggs))
+
+
+def derived_features(out: DataFrame) -> DataFrame:
+    """Add the features that follow from the others."""
     hdd, cdd = F.col("TMY3_HDD65"), F.col("TMY3_CDD65")
     derived = {
         "TMY3_HDD_CDD_ratio": hdd / F.greatest(cdd, F.lit(1.0)),
         "TMY3_heating_months": clip(hdd / 30.0, 0.0, 12.0),
         "TMY3_cooling_months": clip(cdd / 30.0, 0.0, 12.0)}
-    if "radiation" in series:
+    if "TMY3_GHI_mean" in out.columns:
         derived["TMY3_solar_gain_index"] = (
             F.col("TMY3_GHI_mean") * clip("TMY3_GHI_max", lo=1.0) / 1000.0)
     return out.withColumns(derived)

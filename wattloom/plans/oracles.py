@@ -64,6 +64,8 @@ def r(names, d=4, q='"'):
 
 ORACLES["station_climate"] = f"""with {STATION}
 select station_number, {r(FEATURES)}, "TMY3_n_hours" from station"""
+ORACLES["station_climate_stream"] = f"""with {STATION}
+select station_number, {r(FEATURES, 6)}, "TMY3_n_hours" from station"""
 ORACLES["station_climate_events"] = f"""with h as (select user_id station_number, avg(value) t from events group by user_id, date_trunc('hour', ts)),
 st as (select station_number, sum(greatest(18.3::double - t, 0) / 24) "TMY3_HDD65", sum(greatest(t - 18.3::double, 0) / 24) "TMY3_CDD65",
   avg(t) "TMY3_TDB_mean", stddev_samp(t) "TMY3_TDB_std", max(t) "TMY3_TDB_max", count(*) "TMY3_n_hours" from h group by 1),
@@ -138,6 +140,10 @@ _NUMERIC = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "TOTALBTU",
 ORACLES["sentinel_counts"] = f"with {RAW} " + " union all ".join(
     f"""select '{c}' "column", count(*) filter ("{c}" in (-2,-3,-4,-5,-6,-7,-8,-9,-99,-999,999999999)) n_missing_codes from raw"""
     for c in _NUMERIC)
+ORACLES["observed_counts"] = (f"{GEO}, {RAW} " + " union all ".join(
+    f"""select 'code:{c}' measure, count(*) filter ("{c}" in (-2,-3,-4,-5,-6,-7,-8,-9,-99,-999,999999999)) n from raw""" for c in _NUMERIC)
+    + """ union all select 'homes', count(*) from hh union all select 'homes_with_climate', count("TMY3_HDD65") from hh left join state using (state_postal)
+union all select 'eui_missing', count(*) filter ("TOTALBTU" is null or "TOTSQFT_EN" is null) from raw""")
 ORACLES["vintage_year"] = f"""with {HH} select "YEAR_BUILT", count(*) n from hh group by 1"""
 ORACLES["energy_intensity"] = f"with {HH} select {KEY}, {', '.join(f'"{c}"' for c in EUI_COLS)} from hh"
 ORACLES["zone_coarsen"] = f"""with {HH} select "BA_climate", "BA_climate_SIMPLE", count(*) n from hh group by 1, 2"""
@@ -444,6 +450,18 @@ pp as (select "column", n / sum(n) over (partition by "column") p, sum(n) over (
 mi as (select "column", round(sum(p * ln(p / (px * py))), 6) mi from pp group by 1),
 ac as (select "column", round(abs(corr(v, target)), 6) abs_r, count(*) n from long group by 1)"""
 ORACLES["binned_mi"] = f'with {MI} select "column", mi from mi'
+ORACLES["knn_mi"] = f"""with {MATRIX},
+st as (select "column", stddev_pop(v) sv, stddev_pop(target) sy, count(*) n from long group by 1),
+pt as (select l."column", row_number() over () i, v, target y, sv, sy from long l join st using ("column")),
+kd as (select a."column", a.i, min(greatest(abs(a.v - b.v) / a.sv, abs(a.y - b.y) / a.sy), 3)[3] d
+  from pt a join pt b on a."column" = b."column" and a.i <> b.i group by 1, 2),
+nb as (select a."column", a.i, count(*) filter (abs(a.v - b.v) / a.sv < d or (d = 0 and a.v = b.v)) nx,
+  count(*) filter (abs(a.y - b.y) / a.sy < d or (d = 0 and a.y = b.y)) ny
+  from pt a join kd using (i) join pt b on a."column" = b."column" group by 1, 2),
+ps as (select k + 1 k, -0.5772156649015329 + sum(1.0::double / k) over (order by k) psi from range(1, 2000000) t(k) union all select 1, -0.5772156649015329)
+select st."column", st.n, round(greatest(pn.psi + p3.psi - avg(px.psi + py.psi), 0), 6) mi
+from nb join st using ("column") join ps px on px.k = nx join ps py on py.k = ny join ps pn on pn.k = st.n join ps p3 on p3.k = 3
+group by st."column", st.n, pn.psi, p3.psi"""
 ORACLES["abs_corr"] = f'with {MI} select "column", abs_r, n from ac'
 HYB = f"""{MI}, j as (select "column", mi, abs_r from mi join ac using ("column")),
 hy as (select "column", ((rank() over (order by mi) + (count(*) over (partition by mi) - 1) / 2.0::double) / count(*) over ()
@@ -573,3 +591,7 @@ checks as (
 select "check", split, passed, {_COUNTED} counted, detail from checks
 union all select 'overall', 'all', bool_and(passed) filter ({_COUNTED}), false,
   'counted=' || count(*) filter ({_COUNTED}) || ';failed=' || count(*) filter ({_COUNTED} and not passed) from checks"""
+
+ORACLES["positional_pairs"] = """select l_returnflag, l_linestatus, count(*) n, round(avg(p), 4) mean_saving_pct, round(max(p), 4) max_saving_pct, round(sum(b - u), 4) saved
+from (select l_returnflag, l_linestatus, b, u, least(greatest((b - u) / b * 100, -50), 90) p
+  from (select *, l_extendedprice b, l_extendedprice * (1 - l_discount) u from lineitem)) group by 1, 2"""

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from wattloom import constants as K
 from wattloom.operators import (
-    audit, clean, features, harmonise, metrics, physics, report, savings, scenarios, selection, split, weather,
+    audit, clean, features, harmonise, metrics, neighbours, physics, report, savings, scenarios, selection, split, weather,
 )
 from wattloom.plans import roles
 from wattloom.plans.roles import ROW_KEY
+from wattloom.session import run_folder
+from wattloom.streaming import station_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +45,18 @@ def station_climate_events(spark, sf):
     return rounded(df, 10)
 
 
+@query
+def station_climate_stream(spark, sf):
+    """The same features from a stream of the hourly rows in files, reduced batch by batch."""
+    folder = run_folder(spark, "station-stream")
+    hourly = roles.hourly(spark, sf)
+    hourly.repartition(6).write.parquet(f"{folder}/hours")
+    stream = station_stream.keep_station_sums(spark, f"{folder}/hours", hourly.schema, f"{folder}/parts", f"{folder}/progress", 2)
+    stream.awaitTermination()
+    station_stream.compact(spark, f"{folder}/parts")
+    return rounded(station_stream.features(station_stream.read_parts(spark, f"{folder}/parts")), 6)
+
+
 def _states(spark, sf, **kw):
     meta = roles.stations(spark, sf)
     return meta, weather.state_climate(meta, weather.station_climate(roles.hourly(spark, sf)), **kw)
@@ -91,6 +105,23 @@ def sentinel_counts(spark, sf):
     return clean.sentinel_counts(roles.raw_households(spark, sf))
 
 
+@query
+def observed_counts(spark, sf):
+    """Replaced codes, homes with climate and homes without area, from the passes that write the frames."""
+    folder = run_folder(spark, "observed")
+    cleaned, codes = clean.observed_sentinels(roles.raw_households(spark, sf))
+    cleaned.write.parquet(f"{folder}/households")
+    _, states = _states(spark, sf)
+    geo = weather.attach_state_climate(roles.geo_households(spark, sf), states, ["TMY3_HDD65"])
+    geo, match = clean.observed(geo, {"homes": F.count(F.lit(1)), "homes_with_climate": F.count("TMY3_HDD65")}, "match")
+    geo.write.parquet(f"{folder}/climate")
+    eui, missing = clean.observed(clean.energy_intensity(spark.read.parquet(f"{folder}/households")),
+                                  {"eui_missing": F.count_if(F.col("EUI").isNull())}, "eui")
+    eui.write.parquet(f"{folder}/eui")
+    rows = [(f"code:{c}", n) for c, n in codes.get.items()] + list(match.get.items()) + list(missing.get.items())
+    return spark.createDataFrame(rows, "measure string, n long")
+
+
 @query
 def vintage_year(spark, sf):
     return (clean.vintage_year(roles.raw_households(spark, sf))
@@ -305,6 +336,18 @@ def cell_pairs(spark, sf):
     return rounded(report.union_all(parts).withColumns(sums).drop("e_base", "e_up", K.SQFT_COL), 6, saving_pct=8)
 
 
+@query
+def positional_pairs(spark, sf):
+    """Baseline and upgraded rows of two tables without ids, paired by their place."""
+    rows = roles.table(spark, sf, "lineitem")
+    base = rows.withColumn("_e", F.col("l_extendedprice"))
+    up = rows.withColumn("_e", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    pairs = savings.positional_pairs(base, up, "_e")
+    return rounded(pairs.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("saving_pct").alias("mean_saving_pct"), F.max("saving_pct").alias("max_saving_pct"),
+        F.sum(F.col("e_base") - F.col("e_up")).alias("saved")), 4)
+
+
 # ---- splits ---------------------------------------------------------------------
 
 @query
@@ -464,6 +507,12 @@ def binned_mi(spark, sf):
     return rounded(selection.binned_mutual_information(roles.matrix(spark, sf), MATRIX, "target"), 6)
 
 
+@query
+def knn_mi(spark, sf):
+    """Mutual information by three nearest neighbours, all rows and columns."""
+    return rounded(neighbours.neighbour_information(roles.matrix(spark, sf), MATRIX, "target"), 6)
+
+
 @query
 def abs_corr(spark, sf):
     return rounded(selection.absolute_correlation(roles.matrix(spark, sf), MATRIX, "target"), 6)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of one run below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def chunks(items: Iterable, size: int) -> list[list]:
     items = list(items)
     return [items[i:i + size] for i in range(0, len(items), size)]
