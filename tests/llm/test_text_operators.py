@@ -385,3 +385,41 @@ def test_scoring_counts_all_words_and_pairs(make, rows, spark):
             assert got["tokens"] == 0 and got["score"] is None
         else:
             assert [got["target_loss"], got["background_loss"]] == pytest.approx(want, rel=1e-9)
+
+
+# ---- repeats of words ------------------------------------------------------------
+
+def plain_word_removal(docs, n=repeats.WORDS):
+    """Texts without the words that a run of n words covers which also starts anywhere else."""
+    found = {i: list(re.finditer(rb"[^\x20\x09-\x0d]+", (t or "").encode())) for i, (_, t, _, _) in enumerate(docs)}
+    starts = Counter(tuple(m.group() for m in ms[a:a + n]) for ms in found.values() for a in range(len(ms) - n + 1))
+    out = []
+    for i, (doc, t, _, _) in enumerate(docs):
+        data, ms = (t or "").encode(), found[i]
+        gone = {j for a in range(len(ms) - n + 1) if starts[tuple(m.group() for m in ms[a:a + n])] > 1 for j in range(a, a + n)}
+        edges = [m.start() for m in ms] + [len(data)]
+        out.append((doc, (data[:edges[0]] + b"".join(data[edges[j]:edges[j + 1]] for j in range(len(ms)) if j not in gone)).decode()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_repeats_of_fifty_words(make, rows, odd, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(repeats, "PIECE", 4)
+        monkeypatch.setattr(repeats, "SHARD", 2000)
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abé"), rng.integers(1, 4)))
+    text = lambda n: [word() for _ in range(n)]
+    # passages of short words: 51 of them are far fewer than 400 bytes
+    passages = [text(51), text(60), text(50), text(49), text(130)]
+    space = lambda ws: "".join(w + str(rng.choice([" ", "  ", "\n", "\t "])) for w in ws)
+    docs = []
+    for i in range(40):
+        p = passages[i % 5]
+        part = p if i % 3 else p[:int(rng.integers(40, len(p) + 1))]
+        docs.append((i, space(text(int(rng.integers(0, 80))) + part + text(int(rng.integers(0, 80)))), "en", "a"))
+    docs += [(200, " ".join(["so"] * 300), "en", "a"), (201, space(passages[1]), "en", "a"), (201, space(passages[1]), "en", "a")] + odd
+    got = rows(repeats.strip(make(docs), by_words=True))
+    assert Counter((r["doc_id"], r["text"]) for r in got) == plain_word_removal(docs)
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    assert repeats.strip(make([]), by_words=True).count() == 0

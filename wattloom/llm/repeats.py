@@ -23,8 +23,9 @@ result; further columns are ignored, or kept by ``strip``, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import durable
+from wattloom.llm.common import WORD, durable
 from wattloom.llm.suffixes import permuted_prefixes, suffix_array
 
 LENGTH = 400
@@ -46,9 +47,25 @@ BLOCK = 1 << 19
 PIECE = 4096
 SHARD = 1 << 18
 
+#: Bytes that stand for a word where repeats of words are sought: ``LENGTH`` bytes are 50 words then.
+WORD_BYTES = 8
+WORDS = LENGTH // WORD_BYTES
+
 _PLACE = np.uint64((1 << 20) - 1)
 
 
+def utf8(text: str | None) -> bytes:
+    return (text or "").encode()
+
+
+_WORD = re.compile(WORD.encode())
+
+
+def word_code(text: str | None) -> bytes:
+    """Each word of a text as the eight bytes of its hash."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, _WORD.findall(utf8(text))), np.uint64).tobytes()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -93,11 +110,11 @@ def units(text: bytes) -> Iterator[tuple[int, bytes, int, int, int]]:
             yield key(part[anchor:anchor + CORE]), around.digest(), base + at, n, anchor - at
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch], code: Callable = utf8) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for mark, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            rows += [(k, a, mark, at, n, left) for k, a, at, n, left in units((text.as_py() or "").encode())]
+            rows += [(k, a, mark, at, n, left) for k, a, at, n, left in units(code(text.as_py()))]
         if rows:
             c = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([
@@ -106,7 +123,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["key", "around", "mark", "at", "n", "before"])
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fetch(batches: Iterator[pa.RecordBatch], code: Callable = utf8) -> Iterator[pa.RecordBatch]:
     """Bytes before and after the core of the asked-for units of each text, once per text."""
     seen: set[bytes] = set()
     for batch in batches:
@@ -115,7 +132,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if mark in seen:
                 continue
             seen.add(mark)
-            data = (text.as_py() or "").encode()
+            data = code(text.as_py())
             for u in asked.as_py():
                 core = u["at"] + u["before"]
                 rows.append((u["key"], u["piece"], u["pieces"], u["sure"], mark, u["at"], u["n"],
@@ -201,10 +218,10 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("__mark", F.unhex(F.md5("text")))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """mark, spans: for each text with repeated strings, array of (at, n), runs of n strings from at on."""
+def repeated(docs: DataFrame, code: Callable = utf8) -> DataFrame:
+    """mark, spans: for each text with repeated strings of its ``code``, array of (at, n), runs of n strings from at on."""
     marked = texts(docs.select("text")).select(F.col("__mark").alias("mark"), "text")
-    found = marked.mapInArrow(_units, "key long, around binary, mark binary, at long, n int, before int")
+    found = marked.mapInArrow(lambda batches: _units(batches, code), "key long, around binary, mark binary, at long, n int, before int")
     # a table of its own, so that the join below reads two plain shuffles and a hot key can be split
     common = durable(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
     unit = durable(found.join(common, "key", "left_semi"))
@@ -219,7 +236,7 @@ def repeated(docs: DataFrame) -> DataFrame:
             F.col("u.at").alias("at"), F.col("u.n").alias("n"), F.col("u.before").alias("before")).alias("u"))
     asked = open_.groupBy("mark").agg(F.collect_list("u").alias("asked"))          # units of one text
     shards = (marked.join(asked, "mark").select("mark", "text", "asked")
-              .mapInArrow(_fetch, "key long, piece int, pieces int, sure boolean, mark binary, at long, n int, left binary, right binary")
+              .mapInArrow(lambda batches: _fetch(batches, code), "key long, piece int, pieces int, sure boolean, mark binary, at long, n int, left binary, right binary")
               .repartition("key", "piece").sortWithinPartitions("key", "piece", "mark", "at"))
     strings = durable(shards.mapInArrow(_sorted_shards, "mark binary, at long, n int, hash binary"))
     published = strings.filter("hash is not null")
@@ -268,25 +285,37 @@ def digest(docs: DataFrame) -> DataFrame:
             .mapInArrow(_digests, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
-def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column(0), batch.column(1)):
-            data = text.as_py().encode()
-            out.append(kept_bytes(data, covered(len(data), spans.as_py())).decode(errors="ignore"))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], names=["__text", *batch.schema.names[2:]])
+def without(text: str, spans: Iterable[dict]) -> str:
+    """``text`` without its repeated bytes; the rest of a character cut in two goes as well."""
+    data = utf8(text)
+    return kept_bytes(data, covered(len(data), spans)).decode(errors="ignore")
 
 
-def strip(docs: DataFrame) -> DataFrame:
-    """``docs`` without repeated strings; n_chars follows. A character cut in two is dropped."""
-    spans = durable(repeated(docs))
+def without_words(text: str, spans: Iterable[dict]) -> str:
+    """``text`` without its repeated words, each up to the next word; ``spans`` are of its word code."""
+    data = utf8(text)
+    starts = [m.start() for m in _WORD.finditer(data)] + [len(data)]
+    # whole words only: a string that starts within a code covers the words that lie in it whole
+    runs = [(-(-a // WORD_BYTES), b // WORD_BYTES) for a, b in covered((len(starts) - 1) * WORD_BYTES, spans)]
+    return kept_bytes(data, [(starts[a], starts[b]) for a, b in runs]).decode()
+
+
+def strip(docs: DataFrame, by_words: bool = False) -> DataFrame:
+    """``docs`` without repeated strings of ``LENGTH`` bytes, or of ``WORDS`` words whatever the space between them; n_chars follows."""
+    spans = durable(repeated(docs, word_code if by_words else utf8))
+    cut_out = without_words if by_words else without
+
+    def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [cut_out(text.as_py(), found.as_py()) for text, found in zip(batch.column(0), batch.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], names=["__text", *batch.schema.names[2:]])
     rows = texts(docs)
     others = [c for c in docs.columns if c != "text"]
     joined = rows.join(spans, rows["__mark"] == spans["mark"], "left").select(
         rows["text"].alias("__t"), F.col("spans").alias("__s"), *[rows[f"`{c}`"].alias(f"__c{i}") for i, c in enumerate(others)])
     kinds = dict(docs.dtypes)
     cut = joined.filter("__s is not null").mapInArrow(
-        _stripped, ", ".join(["__text string", *[f"__c{i} {kinds[c]}" for i, c in enumerate(others)]]))
+        stripped, ", ".join(["__text string", *[f"__c{i} {kinds[c]}" for i, c in enumerate(others)]]))
     whole = joined.filter("__s is null").select(F.col("__t").alias("__text"), *[f"__c{i}" for i in range(len(others))])
     both = whole.unionByName(cut)
     columns = {"text": F.col("__text"), **{c: F.col(f"__c{i}") for i, c in enumerate(others)}}
