@@ -7,15 +7,16 @@ target, so that the models differ in what they have seen and not in how much. A
 its cross-entropy per token under the target minus that under the background: the lower, the more
 like the target.
 
-Every word and every (previous, word) pair is counted exactly, by its bytes, in tables that grow with the corpus.
-Documents are dealt into blocks by doc_id. A block counts its pairs, the counts of a pair are summed over blocks (so
-that the commonest pair has a row a block at most), and the sums go back to the blocks whose own counts
+Every word and every (previous, word) pair is counted, in tables that grow with the corpus. Documents are dealt into blocks
+while they are read: a block keeps its tokens as ids and the 64-bit hash of each word, so no text is shuffled. A word, context or pair is
+known to other blocks by a 64-bit key (two of 10^7 keys are equal with a probability of 10^-5). A block counts its keys, the counts of a key
+are summed over blocks (so that the commonest one has a row a block at most), and the sums go back to the blocks whose own counts
 they differ from, where documents are scored. No task and no driver holds a whole model.
 
 Defined cases: a null or empty text has no tokens and null scores; labels that
 are null or lack a document are ignored, repeated labels count once; without target documents both
-models are the same and scores are 0; repeated rows count and are scored like others, in one block; texts
-of any length are read in blocks; further columns are ignored.
+models are the same and scores are 0; repeated rows count and are scored like others; texts
+of any length are read in parts; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,80 +27,55 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.llm.common import durable, tasks_for
-from wattloom.llm.simhash import word_blocks
+from wattloom.llm.common import durable
+from wattloom.llm.simhash import SEED, word_blocks
 
 BIGRAM_SHARE = 0.7
 SMOOTHING = 0.5
-#: Distinct words that a task holds before it passes its counts on.
-HELD = 200_000
-#: Tokens of a block, on average at most.
-BLOCK_TOKENS = 3_000_000
+#: Tokens of a block, after which it is closed with the next document.
+BLOCK_TOKENS = 1_500_000
 #: The word before the first; no word has a blank.
 START = b" "
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by word, and (without a word) the tokens of each document."""
-    kind = None
-
-    def out(words: list, ids: pa.Array, n: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), ids, pa.array(n, pa.int64())], names=["word", "doc_id", "n"])
-
-    held: Counter = Counter()
-    for batch in batches:
-        kind, tokens = batch.column(0).type, []
-        for text in batch.column(1):
-            n = 0
-            for words in word_blocks((text.as_py() or "").encode()):
-                held.update(words)
-                n += len(words)
-            tokens.append(n)
-            if len(held) > HELD:
-                yield out(list(held), pa.nulls(len(held), kind), list(held.values()))
-                held = Counter()
-        yield out([None] * len(tokens), batch.column(0), tokens)
-    if held:
-        yield out(list(held), pa.nulls(len(held), kind), list(held.values()))
+#: What a key stands for, in its two lowest bits.
+TOKEN, CONTEXT, PAIR = 0, 1, 2
 
 
 def _good(labels: DataFrame, kind: str) -> DataFrame:
     return labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").try_cast(kind).alias("doc_id")).distinct()
 
 
-def totals(docs: DataFrame, good: DataFrame) -> tuple[int, int, int]:
-    """Distinct words, tokens of the target and tokens of all documents."""
-    kind = dict(docs.dtypes)["doc_id"]
-    found = durable(docs.select("doc_id", "text").mapInArrow(_words, f"word binary, doc_id {kind}, n long"))
-    words = found.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")).agg(F.count(F.lit(1)), F.sum("n")).first()
-    # labels grow with the corpus, so they are never sent to all tasks: one plan at every size
-    target = found.filter("word is null and n > 0").join(good.hint("merge"), "doc_id", "left_semi").agg(F.sum("n")).first()
-    return words[0], target[0] or 0, words[1] or 0
-
-
 class Block:
     """Tokens of some texts, their distinct pairs, and counts (target, all) of tokens, contexts and pairs."""
 
     def __init__(self, texts: Iterator[str | None], good: np.ndarray) -> None:
         ids: defaultdict[bytes, int] = defaultdict(count(1).__next__, {START: 0})
-        now, before, self.lengths = [], [], []
+        parts, lengths = [], []
         for text in texts:
-            last, n = 0, 0
-            for words in word_blocks((text or "").encode()):
-                if words:
-                    block = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                    now.append(block)
-                    before.append(np.concatenate(([last], block[:-1])))
-                    last, n = int(block[-1]), n + len(words)
-            self.lengths.append(n)
-        empty = [np.empty(0, np.int64)]
-        now, before = np.concatenate(now or empty), np.concatenate(before or empty)
+            parts.append(_numbered(text, ids))
+            lengths.append(len(parts[-1]))
+        self.ids = dict(ids)
+        self.count(np.concatenate([*parts, np.empty(0, np.int64)]), lengths, len(ids), good)
+
+    @classmethod
+    def of(cls, now: np.ndarray, lengths: list[int], size: int, good: np.ndarray) -> Block:
+        """From token ids of texts of ``lengths``, one after the other."""
+        block = cls.__new__(cls)
+        block.count(now, lengths, size, good)
+        return block
+
+    def count(self, now: np.ndarray, lengths: list[int], size: int, good: np.ndarray) -> None:
+        self.lengths, self.size = lengths, size
+        before = np.concatenate([[0], now[:-1]]) if len(now) else now
+        firsts = (np.cumsum(lengths) - lengths)[np.array(lengths) > 0] if lengths else np.empty(0, np.int64)
+        before[firsts] = 0
         marked = np.repeat(good, self.lengths).astype(np.float64)
-        self.ids, self.size = dict(ids), len(ids)
         self.pairs, self.place = np.unique(before << 32 | now, return_inverse=True)
 
         def counts(at: np.ndarray, size: int) -> np.ndarray:
@@ -145,43 +121,110 @@ class Block:
         return out
 
 
+def _numbered(text: str | None, ids: defaultdict[bytes, int]) -> np.ndarray:
+    """The tokens of a text as ids, which ``ids`` deals out."""
+    parts = [np.fromiter(map(ids.__getitem__, words), np.int64, len(words)) for words in word_blocks((text or "").encode())]
+    return np.concatenate([*parts, np.empty(0, np.int64)])
+
+
 def _read(docs: pa.Table, good: pa.ChunkedArray) -> Block:
     ids = set(good.to_pylist())
     return Block((t.as_py() for t in docs.column("text")), np.array([i in ids for i in docs.column("doc_id").to_pylist()], dtype=bool))
 
 
-def _counted(docs: pa.Table, good: pa.Table) -> pa.Table:
-    out = _read(docs, good.column("doc_id")).table()
-    block = docs.column("block")[0].as_py() if len(docs) else 0
-    return out.add_column(0, "block", pa.array(np.full(len(out), block, dtype=np.int32)))
+# ---- blocks as rows --------------------------------------------------------------
 
+BLOCKS = "block long, place int, doc_id {kind}, n long, ids binary, words binary"
 
-def _scored(sizes: tuple[int, int, int]):
-    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        label = known.column("t").is_null()
-        block = _read(docs, known.filter(label).column("doc_id").drop_null())
-        if len(docs):
-            block.put(known.filter(known.column("t").is_valid()))
-        n = np.array(block.lengths, dtype=np.int64)
-        each = block.losses(*sizes) / np.maximum(n, 1)
-        c = [pa.array(x, pa.float64(), mask=n == 0) for x in (each[0], each[1], each[0] - each[1])]
-        return pa.table([docs.column("doc_id"), pa.array(n), *c], names=["doc_id", "tokens", "target_loss", "background_loss", "score"])
-    return run
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of blocks: (place, doc_id, n) of each document, parts of the token ids by place, and the hashes of the words."""
+    number = TaskContext.get().partitionId() << 32
+    ids: defaultdict[bytes, int] = defaultdict(count(1).__next__, {START: 0})
+    docs, parts, held, kind = [], [], 0, None
 
-def _block(n: int, *columns: Column | str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int").alias("block")
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        types = {"block": pa.int64(), "place": pa.int32(), "doc_id": kind, "n": pa.int64(), "ids": pa.binary(), "words": pa.binary()}
+        columns["block"] = pa.array(np.full(size, number))
+        return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(size, t) for c, t in types.items()], names=list(types))
 
+    def closed() -> Iterator[pa.RecordBatch]:
+        nonlocal ids, docs, parts, held, number
+        if not docs:
+            return
+        yield rows(len(docs), place=pa.array(range(len(docs))), doc_id=pa.array([d for d, _ in docs], kind), n=pa.array([n for _, n in docs]))
+        tokens = np.concatenate(parts).astype("<i4")
+        for at in range(0, len(tokens), 1 << 20):
+            part = tokens[at:at + (1 << 20)]
+            yield rows(1, place=pa.array([at // (1 << 20)]), n=pa.array([len(part)]), ids=pa.array([pa.compress(part.tobytes(), codec="zstd", asbytes=True)]))
+        yield rows(1, words=pa.array([np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in ids), np.uint64, len(ids)).tobytes()]))
+        ids, docs, parts, held, number = defaultdict(count(1).__next__, {START: 0}), [], [], 0, number + 1
+
+    for batch in batches:
+        kind = batch.column(0).type
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            tokens = _numbered(text.as_py(), ids)
+            docs.append((doc, len(tokens)))
+            parts.append(tokens.astype("<i4"))
+            held += len(tokens)
+            if held >= BLOCK_TOKENS:
+                yield from closed()
+    yield from closed()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def _opened(table: pa.Table, marks: list[int]) -> tuple[Block, np.ndarray, pa.Table]:
+    """A block, the keys of its tokens, contexts and pairs, and its documents by place."""
+    documents = table.filter(pc.and_(pc.is_null(table.column("ids")), pc.is_null(table.column("words")))).sort_by("place")
+    parts = table.filter(pc.is_valid(table.column("ids"))).sort_by("place")
+    words = np.frombuffer(table.filter(pc.is_valid(table.column("words"))).column("words")[0].as_buffer(), np.uint64)
+    tokens = np.concatenate([np.empty(0, np.int64), *[np.frombuffer(pa.decompress(x.as_buffer(), n * 4, codec="zstd"), "<i4").astype(np.int64)
+                                                      for x, n in zip(parts.column("ids"), parts.column("n").to_pylist())]])
+    good = np.zeros(len(documents), bool)
+    good[marks] = True
+    block = Block.of(tokens, documents.column("n").to_pylist(), len(words), good)
+    pair = _mixed(words[block.pairs >> 32] * np.uint64(0x9E3779B97F4A7C15) + words[block.pairs & 0xFFFFFFFF])
+    keys = [x & ~np.uint64(3) | np.uint64(k) for x, k in ((_mixed(words), TOKEN), (_mixed(words), CONTEXT), (pair, PAIR))]
+    return block, np.concatenate(keys).view(np.int64), documents
+
+
+def _all(block: Block) -> np.ndarray:
+    """Counts (target, all) of tokens, contexts and pairs, in the order of the keys."""
+    return np.concatenate([block.tokens, block.contexts, block.bigrams], axis=1)
+
+
+def _counted(table: pa.Table, marks: pa.Table) -> pa.Table:
+    block, keys, _ = _opened(table, marks.column("mark").to_pylist())
+    n = _all(block)
+    seen = np.flatnonzero(n[1])
+    return pa.table({"block": np.full(len(seen), table.column("block")[0].as_py()), "key": keys[seen], "t": n[0, seen], "b": n[1, seen]})
+
+
+def _scored(sizes: tuple[int, int, int]):
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        mark = pc.is_valid(known.column("mark"))
+        block, keys, documents = _opened(table, known.filter(mark).column("mark").to_pylist())
+        sums = known.filter(pc.invert(mark))
+        n, order = _all(block), np.argsort(keys)
+        at = order[np.searchsorted(keys, sums.column("key").to_numpy(), sorter=order)]
+        n[0, at], n[1, at] = sums.column("t").to_numpy(), sums.column("b").to_numpy()
+        block.tokens, block.contexts, block.bigrams = np.split(n, [block.size, 2 * block.size], axis=1)
+        lengths = np.array(block.lengths, dtype=np.int64)
+        each = block.losses(*sizes) / np.maximum(lengths, 1)
+        c = [pa.array(x, pa.float64(), mask=lengths == 0) for x in (each[0], each[1], each[0] - each[1])]
+        return pa.table([documents.column("doc_id"), pa.array(lengths), *c], names=["doc_id", "tokens", "target_loss", "background_loss", "score"])
+    return run
 
-def _dealt(docs: DataFrame, good: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents and target ids by block, and the counts of each block."""
-    kind = dict(docs.dtypes)["doc_id"]
-    # rows without an id are spread by their text; no label means them
-    rows = docs.select(_block(n, F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text"))), "doc_id", "text")
-    ids = good.select(_block(n, F.col("doc_id"), F.lit(None).cast("string")), F.col("doc_id").cast(kind))
-    counts = rows.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(
-        _counted, "block int, prev binary, word binary, t long, b long")
-    return rows, ids, counts
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words.as_buffer(), np.int64)[1:])], names=["h"])     # without START
 
 
 class Models:
@@ -202,7 +245,8 @@ class Models:
     def fit(cls, docs: DataFrame, labels: DataFrame) -> Models:
         good = _good(labels, dict(docs.dtypes)["doc_id"])
         table, ids = docs.select("doc_id", "text").toArrow(), good.toArrow()
-        return cls(_read(table, ids.column("doc_id")), totals(docs, good))
+        block = _read(table, ids.column("doc_id"))
+        return cls(block, (block.size - 1, int(block.tokens[0].sum()), int(block.tokens[1].sum())))
 
     def losses(self, text: str) -> tuple[int, float, float]:
         """Tokens, and the total loss under target and background; words and pairs have to be known."""
@@ -222,11 +266,15 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, tokens, loss per token under target and background, and their difference."""
     kind = dict(docs.dtypes)["doc_id"]
     good = _good(labels, kind)
-    sizes = totals(docs, good)
-    rows, ids, counts = _dealt(docs, good, max(tasks_for(docs.sparkSession), -(-sizes[2] // BLOCK_TOKENS)))
-    same = Window.partitionBy("prev", "word")
+    blocks = durable(docs.select("doc_id", "text").mapInArrow(_blocks, BLOCKS.format(kind=kind)))
+    documents = blocks.filter("ids is null and words is null").select(F.col("block").alias("to"), F.col("place").alias("mark"), "doc_id", "n")
+    # labels grow with the corpus, so they are never sent to all tasks: one plan at every size
+    marks = durable(documents.join(good.hint("merge"), "doc_id", "left_semi").select("to", "mark", "n"))
+    words = blocks.filter("words is not null").select("words").mapInArrow(_hashes, "h long").distinct().count()
+    sizes = (words, marks.agg(F.sum("n")).first()[0] or 0, documents.agg(F.sum("n")).first()[0] or 0)
+    counts = blocks.groupBy("block").cogroup(marks.groupBy("to")).applyInArrow(_counted, "block long, key long, t long, b long")
+    same = Window.partitionBy("key")
     sums = counts.withColumns({"t": F.sum("t").over(same), "b": F.sum("b").over(same), "blocks": F.count(F.lit(1)).over(same)})
-    known = sums.filter("blocks > 1").select("block", F.lit(None).cast(kind).alias("doc_id"), "prev", "word", "t", "b").unionByName(
-        ids, allowMissingColumns=True)
-    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+    known = sums.filter("blocks > 1").select(F.col("block").alias("to"), "key", "t", "b").unionByName(marks.select("to", "mark"), allowMissingColumns=True)
+    return blocks.groupBy("block").cogroup(known.groupBy("to")).applyInArrow(
         _scored(sizes), f"doc_id {kind}, tokens long, target_loss double, background_loss double, score double")
