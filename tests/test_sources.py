@@ -16,6 +16,7 @@ def test_survey_scan(spark, tmp_path):
     p.write_bytes(b"DOEID , TOTSQFT_EN,TOTALBTU,BA_climate,YEARMADERANGE,WALLTYPE,name\n"
                   b"1,1000,50000,Very-Cold,3,-2,caf\xe9\n2,500,10000,Hot-Dry,-2,1,x\n")
     df = tables.load_survey(spark, str(p))
+    assert tables.load_survey(spark, str(p), rows=1).collect() == df.limit(1).collect()
     a, b = df.orderBy("DOEID").collect()
     assert a.EUI == 50.0 and a.YEAR_BUILT == 1955 and a.WALLTYPE is None and a.name == "café"
     assert b.YEAR_BUILT is None and b.BA_climate_SIMPLE == "Hot"
@@ -40,6 +41,7 @@ def write_stock(folder):
 def test_stock_scan_and_store(spark, tmp_path):
     write_stock(tmp_path)
     files = {u: str(tmp_path / f"upgrade{u}.csv.gz") for u in (0, 3, 10)}
+    assert tables.load_stock(spark, files, rows=1).groupBy("upgrade").count().filter("count <> 1").count() == 0
     df = tables.load_stock(spark, files, partitions=4)
     assert df.rdd.getNumPartitions() == 4 and "unused" not in df.columns
     assert {(r.upgrade, r.bldg_id): r[K.STOCK_ENERGY_COL] for r in df.collect()}[(10, 1)] == 8990.0

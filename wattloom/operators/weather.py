@@ -68,14 +68,17 @@ def state_key(c: str):
 def state_climate(meta: DataFrame, stations: DataFrame, first_letter_only: bool = False) -> DataFrame:
     """State means of the station features, weighted by class weight x hours.
 
-    ``meta`` is one row per station (repeats are dropped); Spark picks the join by its size.
+    ``meta`` is one row per station (of repeats the least row stays); Spark picks the join by its size.
     """
     geo = {"latitude": "TMY3ST_Lat", "longitude": "TMY3ST_Lon", "elevation": "TMY3ST_Elev"}
     side = meta.select(
         "station_number", state_key("state").alias(K.STATE_COL),
         station_weight(meta, first_letter_only).alias("_cw"),
         *[as_number(c).alias(v) for c, v in geo.items() if c in meta.columns],
-    ).dropDuplicates(["station_number"])
+    )
+    # of repeated rows the least one stays, so that a rerun gives the same state
+    others = [c for c in side.columns if c != "station_number"]
+    side = side.groupBy("station_number").agg(F.min(F.struct(*others)).alias("_m")).select("station_number", "_m.*")
     joined = stations.join(side, "station_number")
     joined = (joined.withColumn("_w", F.col("_cw") * F.greatest(F.col("TMY3_n_hours"), F.lit(1)))
               .filter(F.col(K.STATE_COL).isNotNull()))

@@ -1,23 +1,25 @@
-"""Registered queries that fit models. Settings are small so that a run is quick;
-the operators take the full settings as parameters."""
+"""Registered queries that fit models, with the operators' default settings."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from wattloom import constants as K
-from wattloom.models import validation
+from wattloom.models import attribution, pinball, signed, tuning, validation
 from wattloom.models.conserving import EnergyModel, LeafQuantiles, out_of_fold
+from wattloom.models.ledger import Ledger
 from wattloom.models.stacking import StackedModel
 from wattloom.models.transfer import Teacher
 from wattloom.models.trees import BoostSpec, assemble, booster, fit_early_stopped, held
-from wattloom.operators import conservation, metrics, report, savings, scenarios, selection, split
+from wattloom.operators import audit, conservation, metrics, report, savings, scenarios, selection, split
 from wattloom.plans import roles
 from wattloom.plans.queries import DRIVER_COLUMNS, query, rounded
 from wattloom.plans.roles import MODEL_FEATURES, ROW_KEY
+from wattloom.session import ensure_checkpoint_dir
 
-SMALL = BoostSpec(max_iter=8, depth=4, step=0.3)
-TINY = SMALL.with_(max_iter=4, depth=3)
+FULL = BoostSpec()
 
 
 @query
@@ -37,14 +39,15 @@ def share_conservation(spark, sf):
 @query
 def gbt_total(spark, sf):
     _, df = roles.encoded_households(spark, sf)
-    frame = assemble(df, MODEL_FEATURES)
-    model = fit_early_stopped(frame, "y_log", SMALL, weight="w")
+    # held: the fit reads it for every tree level, the scores once more
+    frame = held(assemble(df, MODEL_FEATURES).select("split", "w", "y_log", "features"))
+    model = fit_early_stopped(frame, "y_log", FULL, weight="w")
     return metrics.regression_metrics(model.transform(frame), "y_log", "prediction", "w", ["split"])
 
 
 def _energy_model(spark, sf, **kw):
     encoder, df = roles.encoded_households(spark, sf)
-    return encoder, df, EnergyModel.fit(df, MODEL_FEATURES, ROW_KEY, TINY, "w", **kw)
+    return encoder, df, EnergyModel.fit(df, MODEL_FEATURES, ROW_KEY, FULL, "w", **kw)
 
 
 @query
@@ -74,7 +77,7 @@ def cross_conformal(spark, sf):
     """Out-of-fold residual quantile inside train, five folds."""
     _, df = roles.encoded_households(spark, sf)
     train = held(split.add_fold(assemble(df.filter("split = 'train'"), MODEL_FEATURES), ROW_KEY))
-    oof = out_of_fold(train, lambda: booster("y_log", TINY, weight="w"), 5, "oof")
+    oof = out_of_fold(train, lambda: booster("y_log", FULL, weight="w"), 5, "oof")
     q, n = metrics.conformal_quantiles(oof, F.col("y_log") - F.col("oof"), K.CURVE_ALPHAS)
     train.unpersist()
     return spark.createDataFrame([(float(a), n, q[a]) for a in q], "alpha double, n long, q double")
@@ -85,7 +88,7 @@ def quantile_forest(spark, sf):
     """Observed share of test targets below each predicted quantile."""
     _, df = roles.encoded_households(spark, sf)
     frame = assemble(df, MODEL_FEATURES)
-    model = LeafQuantiles.fit(frame.filter("split = 'train'"), "y_log", spec=SMALL, trees=5, weight="w")
+    model = LeafQuantiles.fit(frame.filter("split = 'train'"), "y_log", spec=FULL, weight="w")
     out = model.transform(frame.filter("split = 'test'"))
     return out.agg(F.count(F.lit(1)).alias("n"), *[
         F.avg((F.col("y_log") <= F.col(f"log_q{q}")).cast("double")).alias(f"below_q{q}") for q in (10, 50, 90)])
@@ -95,7 +98,7 @@ def quantile_forest(spark, sf):
 def stack_oof(spark, sf):
     """Out-of-fold scores, non-negative weights and the test score of the ensemble."""
     _, df = roles.encoded_households(spark, sf)
-    model = StackedModel.fit(df.filter("split = 'train'"), MODEL_FEATURES, "y_log", ROW_KEY, "w", TINY, folds=3, trees=5)
+    model = StackedModel.fit(df.filter("split = 'train'"), MODEL_FEATURES, "y_log", ROW_KEY, "w", FULL)
     test = model.score(df.filter("split = 'test'"), "y_log")
     rows = [(n, float(r2), model.coef.get(n)) for n, r2 in model.oof_r2.items()] + [("stacked_test", test, None)]
     return spark.createDataFrame(rows, "learner string, r2 double, coef double")
@@ -104,7 +107,7 @@ def stack_oof(spark, sf):
 @query
 def held_out_zone(spark, sf):
     df = roles.model_households(spark, sf)
-    return validation.leave_one_zone_out(df, MODEL_FEATURES, "y_log", spec=TINY, max_features=10)
+    return validation.leave_one_zone_out(df, MODEL_FEATURES, "y_log", ledger=_ledger(spark, "zones"))
 
 
 @query
@@ -112,8 +115,8 @@ def feature_selection(spark, sf):
     """Hybrid selection with the importance of a small booster."""
     _, df = roles.encoded_households(spark, sf)
     train = held(df.filter("split = 'train'"))
-    importance = validation.tree_importance(train, MODEL_FEATURES, "y_log", TINY)
-    chosen = selection.select_features(train, MODEL_FEATURES, "y_log", 10, importance=importance)
+    importance = validation.tree_importance(train, MODEL_FEATURES, "y_log", FULL)
+    chosen = selection.select_features(train, MODEL_FEATURES, "y_log", importance=importance)
     train.unpersist()
     return spark.createDataFrame([(i, c) for i, c in enumerate(chosen)], "position int, column string")
 
@@ -124,7 +127,7 @@ STOCK_FEATURES = [K.SQFT_COL, "TYPEHUQ", "FUELHEAT", "vintage"]
 @query
 def teacher_meta(spark, sf):
     """Teacher on baseline stock; its two columns on the households."""
-    teacher = Teacher.fit(roles.stock(spark, sf).filter("upgrade = 0"), STOCK_FEATURES, ["bldg_id"], TINY)
+    teacher = Teacher.fit(roles.stock(spark, sf).filter("upgrade = 0"), STOCK_FEATURES, ["bldg_id"])
     out = teacher.add_meta_features(roles.households(spark, sf))
     return out.groupBy(K.CLIMATE_SIMPLE_COL).agg(
         F.count(F.lit(1)).alias("n"), F.avg("TL_pred_logbtu").alias("mean_logbtu"), F.avg("TL_pred_eui").alias("mean_eui"),
@@ -136,8 +139,8 @@ def savings_teacher(spark, sf):
     """One savings model per upgrade, paired by building, beside the measured deltas."""
     stock = roles.stock(spark, sf)
     base = stock.filter("upgrade = 0")
-    teacher = Teacher.fit(base, STOCK_FEATURES, ["bldg_id"], TINY)
-    teacher.fit_savings(stock, spec=TINY)
+    teacher = Teacher.fit(base, STOCK_FEATURES, ["bldg_id"])
+    teacher.fit_savings(stock)
     return teacher.savings_table(base, savings.measured_deltas(stock, columns=DRIVER_COLUMNS))
 
 
@@ -146,8 +149,8 @@ def savings_teacher_cells(spark, sf):
     """The same models from coarsened cells, for stock without building ids."""
     stock = roles.stock(spark, sf).drop("bldg_id")
     base = stock.filter("upgrade = 0")
-    teacher = Teacher.fit(base, STOCK_FEATURES, STOCK_FEATURES, TINY)
-    teacher.fit_savings(stock, building=None, spec=TINY)
+    teacher = Teacher.fit(base, STOCK_FEATURES, STOCK_FEATURES)
+    teacher.fit_savings(stock, building=None)
     return teacher.savings_table(base)
 
 
@@ -168,40 +171,39 @@ def model_scenarios(spark, sf):
 
 @query
 def seed_repetition(spark, sf):
-    """Two seeds of every arm, one of the ensemble, with the paired verdicts."""
-    teacher = Teacher.fit(roles.stock(spark, sf).filter("upgrade = 0"), [K.SQFT_COL], ["bldg_id"], TINY)
+    """All seeds of every arm, three of the ensemble, with the paired verdicts; a stopped run is resumed."""
+    teacher = Teacher.fit(roles.stock(spark, sf).filter("upgrade = 0"), STOCK_FEATURES, ["bldg_id"])
     _, df = roles.encoded_households(spark, sf)
     df = teacher.add_meta_features(df)
     features = [*MODEL_FEATURES, "TL_pred_logbtu", "TL_pred_eui"]
-    scores = validation.seed_scores(df, features, "y_log", ROW_KEY, K.SEEDS[:2], 1, "w", spec=TINY, trees=4)
+    scores = validation.seed_scores(df, features, "y_log", ROW_KEY, weight="w", ledger=_ledger(spark, "seeds"))
     return report.model_table(*validation.seed_report(scores))
 
 
 @query
 def simple_baselines(spark, sf):
-    teacher = Teacher.fit(roles.stock(spark, sf).filter("upgrade = 0"), [K.SQFT_COL], ["bldg_id"], TINY)
+    teacher = Teacher.fit(roles.stock(spark, sf).filter("upgrade = 0"), STOCK_FEATURES, ["bldg_id"])
     _, df = roles.encoded_households(spark, sf)
     df = teacher.add_meta_features(df)
-    return validation.simple_baselines(df, [*MODEL_FEATURES, "TL_pred_logbtu", "TL_pred_eui"], "y_log", weight="w",
-                                       spec=TINY, trees=4)
+    return validation.simple_baselines(df, [*MODEL_FEATURES, "TL_pred_logbtu", "TL_pred_eui"], "y_log", weight="w")
 
 
 @query
 def quick_benchmark(spark, sf):
     _, df = roles.encoded_households(spark, sf)
-    return validation.quick_benchmark(df, MODEL_FEATURES, "y_log", ROW_KEY, TINY, 4)
+    return validation.quick_benchmark(df, MODEL_FEATURES, "y_log", ROW_KEY)
 
 
 @query
 def random_search(spark, sf):
     _, df = roles.encoded_households(spark, sf)
-    return validation.random_search(df, MODEL_FEATURES, "y_log", 3, weight="w", max_iter=3, max_depth=5)[1]
+    return validation.random_search(df, MODEL_FEATURES, "y_log", weight="w")[1]
 
 
 @query
 def permutation_importance(spark, sf):
     _, df = roles.encoded_households(spark, sf)
-    model = fit_early_stopped(assemble(df, MODEL_FEATURES), "y_log", TINY, weight="w")
+    model = fit_early_stopped(held(assemble(df, MODEL_FEATURES)), "y_log", FULL, weight="w")
     found = validation.resampled_importance(model, df.filter("split = 'test'"), MODEL_FEATURES, "y_log", ROW_KEY)
     return selection.top_features(found, 10)
 
@@ -209,5 +211,102 @@ def permutation_importance(spark, sf):
 @query
 def monotonicity(spark, sf):
     _, df = roles.encoded_households(spark, sf)
-    model = fit_early_stopped(assemble(df, MODEL_FEATURES), "y_log", TINY, weight="w")
+    model = fit_early_stopped(held(assemble(df, MODEL_FEATURES)), "y_log", FULL, weight="w")
     return validation.monotonicity_violations(model, df.filter("split = 'test'"), MODEL_FEATURES)
+
+
+def _ledger(spark, name: str) -> Ledger:
+    """Finished fits of a query, beside the checkpoints of the job: a run that was stopped goes on where it was."""
+    ensure_checkpoint_dir(spark)
+    return Ledger(spark, f"{spark.sparkContext.getCheckpointDir()}/ledger-{name}")
+
+
+@query
+def successive_halving(spark, sf):
+    """Sixty settings, up to 100 rounds, within a minute: what each rung found, and what the time cut off."""
+    _, df = roles.encoded_households(spark, sf)
+    return tuning.tune(df, MODEL_FEATURES, "y_log", trials=60, seconds=60, weight="w")[1]
+
+
+@query
+def pinball_quantiles(spark, sf):
+    """Observed share of test targets below each boosted quantile, and the pinball loss beside that of a constant."""
+    _, df = roles.encoded_households(spark, sf)
+    frame = assemble(df, MODEL_FEATURES)
+    models = pinball.QuantileModels.fit(frame.filter("split = 'train'"), "y_log", weight="w")
+    out = held(models.transform(frame.filter("split = 'test'")).select("y_log", *[f"log_q{q}" for q in (10, 50, 90)]))
+    parts = []
+    for q in (0.1, 0.5, 0.9):
+        p, m = F.col(f"log_q{round(q * 100)}"), models.models[q]
+        parts.append(out.agg(F.lit(q).alias("quantile"), F.count(F.lit(1)).alias("n"), F.avg((F.col("y_log") <= p).cast("double")).alias("below"),
+                             F.avg(pinball.pinball(F.col("y_log"), p, q)).alias("loss"),
+                             F.avg(pinball.pinball(F.col("y_log"), F.lit(m.start), q)).alias("constant_loss"), F.lit(len(m.trees)).alias("rounds")))
+    return report.union_all(parts)
+
+
+@query
+def signed_model(spark, sf):
+    """Violations of each sign by the free booster and by the signed model, and what the signs cost in test R2."""
+    _, df = roles.encoded_households(spark, sf)
+    frame = held(assemble(df, MODEL_FEATURES))
+    test = df.filter("split = 'test'")
+    parts = []
+    for name, model in (("free", fit_early_stopped(frame, "y_log", BoostSpec(), weight="w")),
+                        ("signed", signed.SignedModel.fit(frame, MODEL_FEATURES, "y_log", weight="w"))):
+        r2 = metrics.regression_metrics(model.setPredictionCol("prediction").transform(frame.filter("split = 'test'")), "y_log", "prediction").first().r2
+        parts.append(validation.monotonicity_violations(model, test, MODEL_FEATURES).withColumns({"model": F.lit(name), "test_r2": F.lit(r2)}))
+    return report.union_all(parts)
+
+
+@query
+def shapley_attribution(spark, sf):
+    """Mean absolute sampled Shapley value of each feature over all test rows."""
+    _, df = roles.encoded_households(spark, sf)
+    frame = held(assemble(df, MODEL_FEATURES))
+    model = fit_early_stopped(frame, "y_log", BoostSpec(), weight="w")
+    phi = attribution.shapley(model, frame.filter("split = 'test'").select(*ROW_KEY, "features"), MODEL_FEATURES, ROW_KEY,
+                              reference=frame.filter("split = 'train'").select(*ROW_KEY, "features"))
+    return attribution.mean_absolute(phi)
+
+
+@query
+def run_document(spark, sf):
+    """One run as one document: model, ensemble, teacher, scenarios, held-out zones and audit on one stored frame.
+
+    Rows are (layer, key, value as JSON): the result tables two to five, the audit and the run's own numbers.
+    """
+    encoder, df = roles.encoded_households(spark, sf)
+    stock = roles.stock(spark, sf)
+    model = EnergyModel.fit(df, MODEL_FEATURES, ROW_KEY, FULL, "w", quantiles=False)
+    test = df.filter("split = 'test'")
+    scored = held(model.predict(test))
+    names = {"total": K.TOTAL_COL, "eui": K.EUI_COL, **{f"eui_{t}": f"EUI_{t.upper()}" for t in model.routing}}
+    predicted = {"total": "total_btu", **{n: n for n in names if n != "total"}}
+    long = scored.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("metric"), F.col(y).alias("y"), F.col(predicted[n]).alias("p")) for n, y in names.items()])))
+    performance = report.performance_table(metrics.regression_metrics(long, "y", "p", by=["metric"]))
+    cover = metrics.interval_coverage(model.predict_intervals(test), K.TOTAL_COL, "lo", "hi").first()
+
+    def scorer(frame):
+        encoder.keep = [c for c in frame.columns if c not in MODEL_FEATURES]
+        return model.predict_total(encoder.transform(frame))
+    raw = roles.model_households(spark, sf).filter("split = 'test'")
+    raw = raw.drop(*[c for c in raw.columns if c.startswith("PH_")])
+    deltas = savings.measured_deltas(stock, columns=DRIVER_COLUMNS)
+    base = stock.filter("upgrade = 0")
+    teacher = Teacher.fit(base, STOCK_FEATURES, ["bldg_id"])
+    teacher.fit_savings(stock)
+    both = scenarios.combined_report(scenarios.run_scenarios(raw, scorer, deltas), teacher.savings_table(base, deltas))
+    zones = validation.leave_one_zone_out(roles.model_households(spark, sf), MODEL_FEATURES, "y_log", ledger=_ledger(spark, "zones"))
+    checks = audit.run_audit(df, MODEL_FEATURES, "y_log", scores={r.metric: r.r2 for r in performance.collect() if r.r2 is not None})
+    passed = audit.verdict(checks)
+    summary = {"n_features": len(MODEL_FEATURES), "conformal_mode": model.conformal_mode, "conformal_coverage_90": cover.coverage,
+               "conformal_mean_width": cover.mean_width, "routing": model.routing, "task_val_scores": model.val_scores,
+               "teacher": teacher.metrics}
+    layers = {"performance": performance, "scenarios": both, "zones": zones, "zones_summary": report.zone_summary(zones),
+              "audit": checks, "audit_verdict": passed, "split": df.groupBy("split").agg(F.count(F.lit(1)).alias("n"))}
+    parts = [spark.createDataFrame([("summary", k, json.dumps(v)) for k, v in summary.items()], "layer string, key string, value string")]
+    for name, table in layers.items():
+        parts.append(table.select(F.lit(name).alias("layer"), F.col(table.columns[0]).cast("string").alias("key"),
+                                  F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")))
+    return report.union_all(parts)

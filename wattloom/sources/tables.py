@@ -44,19 +44,21 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             infer: bool = False, encoding: str | None = None) -> DataFrame:
-    """CSV with header; without a schema every column is text unless ``infer``."""
+             infer: bool = False, encoding: str | None = None, rows: int | None = None) -> DataFrame:
+    """CSV with header; without a schema every column is text unless ``infer``.
+
+    ``rows`` caps the rows read, for a quick look at a large file: the scan stops early, and the capped rows pass one task.
+    """
     reader = spark.read.option("header", True).option(
         "encoding", encoding or detect_encoding(spark, path)).option("nullValue", "")
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", infer).csv(path)
+    df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", infer).csv(path)
+    return df if rows is None else df.limit(rows)
 
 
-def load_survey(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def load_survey(spark: SparkSession, path: str, schema: T.StructType | None = None, rows: int | None = None) -> DataFrame:
     """Survey microdata with vintage year, missing codes cleared, intensities,
     shares and the coarse climate zone."""
-    df = read_csv(spark, path, schema, infer=schema is None)
+    df = read_csv(spark, path, schema, infer=schema is None, rows=rows)
     df = df.toDF(*[c.strip() for c in df.columns])
     df = clean.sentinels_to_null(clean.vintage_year(df))
     return clean.add_coarse_zone(clean.energy_intensity(df))
@@ -102,9 +104,10 @@ def stock_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def load_stock(spark: SparkSession, files: Mapping[int, str], partitions: int | None = None,
-               encoding: str = "utf-8") -> DataFrame:
+               encoding: str = "utf-8", rows: int | None = None) -> DataFrame:
     """All upgrade files as one frame with an ``upgrade`` column (0 = baseline).
 
+    ``rows`` caps the rows of each file.
     A gzip file is read by one task; ``partitions`` spreads the rows afterwards.
     Absent files are skipped.
     """
@@ -112,7 +115,7 @@ def load_stock(spark: SparkSession, files: Mapping[int, str], partitions: int |
     for upgrade, path in files.items():
         if not exists(spark, path):
             continue
-        part = stock_columns(read_csv(spark, path, encoding=encoding))
+        part = stock_columns(read_csv(spark, path, encoding=encoding, rows=rows))
         part = part.withColumn("upgrade", F.lit(int(upgrade)))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
