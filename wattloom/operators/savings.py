@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from wattloom import constants as K
 from wattloom.functions import as_number
+from wattloom.session import durable
 
 
 def _per_upgrade(row: DataFrame, upgrades: Sequence[int], fields: dict[str, str]) -> DataFrame:
@@ -168,14 +169,34 @@ def driver_columns(stock: DataFrame, upgrades: Sequence[int] = K.UPGRADES,
     return {k: [c for c in names if (k, c) in hits] for k in upgrades}
 
 
+def _support(stock: DataFrame, upgrades: Sequence[int], drivers: dict[int, list[str]]) -> tuple[DataFrame, dict[int, Column]]:
+    """``stock`` with, per upgrade, whether a row has driver values that occur in that upgrade.
+
+    One pass collects the values of all driver columns with the upgrades they occur in; a column's values are joined
+    to the rows once, whichever upgrades ask for it.
+    """
+    used = sorted({c for k in upgrades for c in drivers[k]})
+    keep = {k: F.lit(True) for k in upgrades}
+    if not used:
+        return stock, keep
+    u = F.col("upgrade")
+    values = durable(stock.select(u, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in used]))).filter("value is not null")
+        .groupBy("column", "value").agg(*[F.max(u == k).alias(f"in_{k}") for k in upgrades]))
+    for i, c in enumerate(used):
+        own = values.filter(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.struct(*[f"in_{k}" for k in upgrades]).alias(f"_f{i}"))
+        stock = stock.join(own, F.col(f"`{c}`").cast("string") == F.col(f"_v{i}"), "left")
+    for k in upgrades:
+        for c in drivers[k]:
+            keep[k] = keep[k] & F.coalesce(F.col(f"_f{used.index(c)}.in_{k}"), F.lit(False))
+    return stock, keep
+
+
 def restricted_stock(stock: DataFrame, upgrade: int, drivers: Sequence[str]) -> DataFrame:
     """One upgrade and the baseline rows whose driver values occur in it."""
+    rows, keep = _support(stock, [upgrade], {upgrade: list(drivers)})
     u = F.col("upgrade")
-    base, up = stock.filter(u == 0), stock.filter(u == upgrade)
-    for c in drivers:
-        values = up.filter(F.col(f"`{c}`").isNotNull()).select(F.col(f"`{c}`").alias("_v")).distinct()
-        base = base.join(values, base[f"`{c}`"] == values["_v"], "left_semi")
-    return base.unionByName(up)
+    return rows.filter((u == upgrade) | ((u == 0) & keep[upgrade])).select(*[F.col(f"`{c}`") for c in stock.columns])
 
 
 def shared_support_delta(stock: DataFrame, upgrades: Sequence[int] = K.UPGRADES,
@@ -186,43 +207,39 @@ def shared_support_delta(stock: DataFrame, upgrades: Sequence[int] = K.UPGRADES,
 
     NULL without a driver column or with fewer than ``min_rows`` such baseline
     rows; a plain mean ratio when fewer than ``min(20, min_cells)`` cells match.
+    All upgrades come from one conditional aggregate over cells.
     """
     drivers = driver_columns(stock, upgrades, columns, energy)
     keys = [k for k in keys if k in stock.columns]
+    matched = len(keys) >= 2
+    rows, keep = _support(stock, upgrades, drivers)
     e, u = _energy(energy), F.col("upgrade")
+    aggs = []
+    for k in upgrades:
+        base = (u == 0) & keep[k]
+        # cells carry counts and sums, so the plain ratio of all restricted rows is recovered from them as well
+        aggs += [F.count_if(base).alias(f"nb{k}"), F.sum(F.when(base, e)).alias(f"sb{k}"), F.count(F.when(base, e)).alias(f"cb{k}"),
+                 F.sum(F.when(u == k, e)).alias(f"su{k}"), F.count(F.when(u == k, e)).alias(f"cu{k}")]
+    cells = (rows.groupBy(*keys) if matched else rows.groupBy()).agg(*aggs)
+    named = F.lit(True)
+    for c in keys if matched else []:
+        named = named & F.col(c).isNotNull()
+    wide = []
+    for k in upgrades:
+        nb, sb, cb, su, cu = (F.col(f"{x}{k}") for x in ("nb", "sb", "cb", "su", "cu"))
+        common = named & (cb > 0) & (cu > 0)
+        wide += [F.coalesce(F.sum(nb), F.lit(0)).alias(f"n_{k}"), F.count_if(common).alias(f"cells_{k}"),
+                 F.sum(F.when(common, nb * su / cu)).alias(f"wu_{k}"), F.sum(F.when(common, nb * sb / cb)).alias(f"wb_{k}"),
+                 F.try_divide(F.sum(su), F.sum(cu)).alias(f"mu_{k}"), F.try_divide(F.sum(sb), F.sum(cb)).alias(f"mb_{k}")]
     parts = []
     for k in upgrades:
-        sub = restricted_stock(stock, k, drivers[k]) if drivers[k] else stock.filter(u.isin(0, k))
-        # one pass per upgrade: cells carry counts and sums, so the plain ratio
-        # of all restricted rows is recovered from them as well
-        cells = sub.groupBy(*keys) if len(keys) >= 2 else sub.groupBy(F.lit(1).alias("_all"))
-        named = F.lit(True)
-        for c in keys if len(keys) >= 2 else []:
-            named = named & F.col(c).isNotNull()
-        t = cells.agg(
-            F.count_if(u == 0).alias("nb"), F.sum(F.when(u == 0, e)).alias("sb"),
-            F.count(F.when(u == 0, e)).alias("cb"), F.sum(F.when(u == k, e)).alias("su"),
-            F.count(F.when(u == k, e)).alias("cu"))
-        common = named & (F.col("cb") > 0) & (F.col("cu") > 0)
-        t = t.agg(
-            F.coalesce(F.sum("nb"), F.lit(0)).alias("n_base_restricted"),
-            F.count_if(common).alias("n_cells"),
-            F.sum(F.when(common, F.col("nb") * F.col("su") / F.col("cu"))).alias("wu"),
-            F.sum(F.when(common, F.col("nb") * F.col("sb") / F.col("cb"))).alias("wb"),
-            F.try_divide(F.sum("su"), F.sum("cu")).alias("mu"),
-            F.try_divide(F.sum("sb"), F.sum("cb")).alias("mb"))
-        enough = (F.col("n_cells") >= min(20, min_cells)) & F.lit(len(keys) >= 2)
-        ratio = F.when(enough, F.try_divide(F.col("wu"), F.col("wb"))).otherwise(
-            F.try_divide(F.col("mu"), F.col("mb")))
-        usable = F.lit(bool(drivers[k])) & (F.col("n_base_restricted") >= min_rows)
-        parts.append(t.select(
-            F.lit(int(k)).alias("upgrade"), F.lit(",".join(drivers[k])).alias("drivers"),
-            "n_base_restricted", F.when(usable, F.col("n_cells")).alias("n_cells"),
-            F.when(usable, (1 - ratio) * 100).alias("shared_support_pct")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        n, found = F.col(f"n_{k}"), F.col(f"cells_{k}")
+        enough = (found >= min(20, min_cells)) & F.lit(matched)
+        ratio = F.when(enough, F.try_divide(F.col(f"wu_{k}"), F.col(f"wb_{k}"))).otherwise(F.try_divide(F.col(f"mu_{k}"), F.col(f"mb_{k}")))
+        usable = F.lit(bool(drivers[k])) & (n >= min_rows)
+        parts.append(F.struct(F.lit(int(k)).alias("upgrade"), F.lit(",".join(drivers[k])).alias("drivers"), n.alias("n_base_restricted"),
+                              F.when(usable, found).alias("n_cells"), F.when(usable, (1 - ratio) * 100).alias("shared_support_pct")))
+    return cells.agg(*wide).select(F.inline(F.array(*parts)))
 
 
 def measured_deltas(stock: DataFrame, upgrades: Sequence[int] = K.UPGRADES, building: str | None = "bldg_id",
