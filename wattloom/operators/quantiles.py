@@ -21,7 +21,7 @@ from wattloom.functions import null_nan
 from wattloom.session import chunks
 
 ACCURACY = 10_000
-DIRECT_ROWS = 50_000
+DIRECT_ROWS = 500_000
 MAX_PASSES = 40
 
 
@@ -191,7 +191,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
 
 
 def grouped_quantiles(df: DataFrame, group: str, value: str, q: float, weight: str, accuracy: int = 200,
-                      direct_rows: int = DIRECT_ROWS) -> dict:
+                      direct_rows: int = 20_000) -> dict:
     """Exact weighted lower quantile of ``value`` per group: the least value with at least ``q`` of the weight at or below it.
 
     For few groups (a dictionary of them comes back), of any size each: a sketch per group proposes values, one grouped pass
