@@ -204,19 +204,21 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, q: float, weight: s
     def per_group(values: Mapping) -> Column:
         return F.map_from_arrays(F.array(*[F.lit(g) for g in values]), F.array(*[
             F.array(*[F.lit(float(x)) for x in v]) for v in values.values()]))
-    whole = rows.groupBy("g").agg(F.sum("w").alias("w"), F.max("v").alias("top")).collect()
-    goal = {r.g: q * r.w * (1 - 1e-12) for r in whole}
-    # lo < quantile <= hi, the rows up to lo weigh ``below``
-    open_ = {r.g: (0.0, float("-inf"), r.top) for r in whole}
+    goal: dict = {}
+    # lo < quantile <= hi, the rows up to lo weigh ``below``; the first pass has no brackets yet
+    open_: dict = {}
     out: dict = {}
-    for _ in range(MAX_PASSES):
-        if not open_:
-            return out
-        inside = rows.withColumn("b", F.try_element_at(per_group({g: b[1:] for g, b in open_.items()}), F.col("g"))).filter(
-            "v > b[0] and v < b[1]").select("g", "v", "w")
+    for turn in range(MAX_PASSES):
+        inside = rows
+        if turn:
+            inside = rows.withColumn("b", F.try_element_at(per_group({g: b[1:] for g, b in open_.items()}), F.col("g"))).filter(
+                "v > b[0] and v < b[1]").select("g", "v", "w")
         sketch = {r.g: r for r in inside.groupBy("g").agg(
             F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"),
             F.percentile_approx("v", [i / 32 for i in range(1, 32)], accuracy).alias("c")).collect()}
+        if not turn:
+            goal = {g: q * r.w * (1 - 1e-12) for g, r in sketch.items()}
+            open_ = {g: (0.0, float("-inf"), float("inf")) for g in sketch}
         for g, (below, _, hi) in list(open_.items()):
             if g not in sketch or below + sketch[g].w < goal[g]:
                 out[g] = hi                             # everything under hi weighs too little
