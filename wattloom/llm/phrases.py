@@ -32,7 +32,7 @@ from wattloom.llm.common import durable
 
 SHARD = 3 << 19
 #: Texts handed to the Arrow kernels at once, in bytes.
-BLOCK = 1 << 24
+BLOCK = 1 << 22
 LONGEST = 4
 LEAST = 30
 TOP = 2000
