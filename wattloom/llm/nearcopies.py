@@ -1,6 +1,6 @@
-"""Near copies by shingle similarity: MinHash bands find candidates, exact Jaccard confirms them.
+"""Near copies by SimHash, and by shingle similarity beyond its radius: MinHash bands find candidates, exact Jaccard confirms them.
 
-Texts are alike if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints
+Texts are linked if their SimHash fingerprints are (``simhash.py``, same shingles and radius as there), and if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints
 of 64 bits of such texts differ in about ten bits, a radius at which no choice of agreeing bytes is left
 to shard by; hence candidates come from 20 bands of four minimal hashes (a pair at exactly 0.8 shares a
 band with probability 0.99997). Texts with equal sets are one node. Links are sought in two rounds,
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.llm.common import components, durable
-from wattloom.llm.simhash import SEED, _ended, shingle_hashes, word_blocks
+from wattloom.llm.simhash import SEED, _ended, classes, fingerprint, shingle_hashes, word_blocks
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -79,13 +79,14 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, signs = [], []
+        nodes, signs, prints = [], [], []
         for text in batch.column(2):
             s = shingle_set(text.as_py())
             nodes.append(hashlib.md5(s.tobytes()).digest())
             signs.append(signature(s).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(signs, pa.binary())],
-                                         names=["doc_id", "mark", "node", "sign"])
+            prints.append(fingerprint((text.as_py() or "").encode()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(signs, pa.binary()),
+                                          pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], names=["doc_id", "mark", "node", "sign", "fp"])
 
 
 def likeness(signs: np.ndarray) -> np.ndarray:
@@ -238,14 +239,21 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return first.unionByName(confirmed(cross_pairs(cut, components(first), texts), texts))
 
 
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """Links (u, v) between the nodes whose SimHash fingerprints are joined; ``prints`` has node and fp."""
+    own = durable(prints.select("node", "fp").distinct().join(classes(prints), "fp").select("node", "root").distinct())
+    first = own.groupBy("root").agg(F.min("node").alias("u"), F.max("node").alias("last")).filter("u <> last").select("root", "u")
+    return durable(own.join(first, "root").filter("u <> node").select("u", F.col("node").alias("v")))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of every group of near copies: that of the smallest doc_id (nulls last)."""
     mark = F.md5(F.coalesce("text", F.lit("")))
     plain = docs.select("doc_id", mark.alias("mark"), "text")
-    prints = durable(plain.mapInArrow(_signed, f"doc_id {dict(docs.dtypes)['doc_id']}, mark string, node binary, sign binary"))
+    prints = durable(plain.mapInArrow(_signed, f"doc_id {dict(docs.dtypes)['doc_id']}, mark string, node binary, sign binary, fp long"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("mark").alias("mark")))
     nodes = durable(prints.groupBy("node").agg(F.min("sign").alias("sign"), best.alias("b")))
-    joined = components(links(nodes, plain)).withColumnRenamed("node", "__node")
+    joined = components(fingerprint_links(prints).unionByName(links(nodes, plain))).withColumnRenamed("node", "__node")
     root = nodes.join(joined, nodes["node"] == joined["__node"], "left").select(F.coalesce("root", "node").alias("root"), "b")
     kept = durable(root.groupBy("root").agg(F.min("b").alias("b")).select(F.col("b.id").alias("__id"), F.col("b.mark").alias("__kept")))
     rows = docs.withColumn("__mark", mark)
