@@ -323,7 +323,8 @@ def positions(df: DataFrame, place: str = "position") -> DataFrame:
     files = at.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
     ahead = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)      # one row per file
     starts = files.select("_file", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
-    return at.join(starts, "_file").withColumn(place, F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+    # one row per file goes to the rows: dealt out by file, a file's rows would meet in one task
+    return at.join(F.broadcast(starts), "_file").withColumn(place, F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
 
 
 def positional_pairs(base: DataFrame, up: DataFrame, energy: str = K.STOCK_ENERGY_COL) -> DataFrame:
