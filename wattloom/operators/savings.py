@@ -18,6 +18,10 @@ from wattloom.functions import as_number
 from wattloom.session import durable
 
 
+#: Values of a driver column that are sent to all tasks.
+FEW_VALUES = 50_000
+
+
 def _per_upgrade(row: DataFrame, upgrades: Sequence[int], fields: dict[str, str]) -> DataFrame:
     """One wide row (``field_upgrade`` columns) to one row per upgrade."""
     return row.select(F.inline(F.array(*[
@@ -173,7 +177,8 @@ def _support(stock: DataFrame, upgrades: Sequence[int], drivers: dict[int, list[
     """``stock`` with, per upgrade, whether a row has driver values that occur in that upgrade.
 
     One pass collects the values of all driver columns with the upgrades they occur in; a column's values are joined
-    to the rows once, whichever upgrades ask for it.
+    to the rows once, whichever upgrades ask for it. Few values go to the rows, which would meet in as few tasks as there
+    are values; many are left to a shuffled join, which spreads them.
     """
     used = sorted({c for k in upgrades for c in drivers[k]})
     keep = {k: F.lit(True) for k in upgrades}
@@ -183,8 +188,10 @@ def _support(stock: DataFrame, upgrades: Sequence[int], drivers: dict[int, list[
     values = durable(stock.select(u, F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in used]))).filter("value is not null")
         .groupBy("column", "value").agg(*[F.max(u == k).alias(f"in_{k}") for k in upgrades]))
+    sizes = {r.column: r["count"] for r in values.groupBy("column").count().collect()}
     for i, c in enumerate(used):
         own = values.filter(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.struct(*[f"in_{k}" for k in upgrades]).alias(f"_f{i}"))
+        own = F.broadcast(own) if sizes.get(c, 0) <= FEW_VALUES else own
         stock = stock.join(own, F.col(f"`{c}`").cast("string") == F.col(f"_v{i}"), "left")
     for k in upgrades:
         for c in drivers[k]:
