@@ -286,8 +286,17 @@ def saving_pct(base: Column, upgraded: Column) -> Column:
 
 
 def duplicate_buildings(stock: DataFrame, building: str = "bldg_id") -> DataFrame:
-    return (stock.groupBy("upgrade", building).agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > 1).groupBy("upgrade").agg(F.count(F.lit(1)).alias("n_duplicate_ids")))
+    """Ids that occur more than once in an upgrade. Rows are counted per id, all upgrades side by side, so an id is
+    shuffled once and not once per upgrade."""
+    found = sorted((r.upgrade for r in stock.select("upgrade").distinct().collect()), key=lambda k: (k is not None, k))
+    if not found:
+        return stock.groupBy("upgrade").agg(F.count(F.lit(1)).alias("n_duplicate_ids"))
+    kind = stock.schema["upgrade"].dataType
+    per_id = stock.groupBy(building).agg(*[F.count_if(F.col("upgrade").eqNullSafe(F.lit(k))).alias(f"n{i}") for i, k in enumerate(found)])
+    row = per_id.agg(*[F.count_if(F.col(f"n{i}") > 1).alias(f"d{i}") for i in range(len(found))])
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(k).cast(kind).alias("upgrade"), F.col(f"d{i}").alias("n_duplicate_ids")) for i, k in enumerate(found)]))).filter(
+            "n_duplicate_ids > 0")
 
 
 def building_pairs(stock: DataFrame, upgrade: int, features: Sequence[str], building: str = "bldg_id",
