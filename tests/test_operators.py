@@ -300,3 +300,17 @@ def test_mutual_information_orders_signal(spark):
     df = frame(spark).withColumn("z", F.col("a") * 2)
     mi = {r.column: r.mi for r in selection.binned_mutual_information(df, ["a", "b", "z"], "a").collect()}
     assert mi["a"] == pytest.approx(math.log(10), rel=0.01) and mi["z"] == pytest.approx(mi["a"]) and mi["b"] < 0.3
+
+
+def test_the_scans_do_not_follow_the_number_of_ranks(spark, monkeypatch):
+    r = random.Random(3)
+    data = {"a": [r.gauss(0, 1) for _ in range(4000)], "b": [float(r.randint(-3, 3)) for _ in range(3998)] + [-math.inf, math.inf]}
+    df = spark.createDataFrame(list(zip(data["a"], data["b"])) + [(None, None)], "a double, b double").repartition(4)
+    searches, real = [], quantiles._search
+    monkeypatch.setattr(quantiles, "_search", lambda *a: searches.append(1) or real(*a))
+    probs = [i / 100 for i in range(101)]
+    ranks = lambda _, n: [round((n - 1) * p) for p in probs]
+    found, sizes = quantiles.order_statistics(df, {"a": "a", "b": "b"}, ranks, accuracy=500, direct_rows=200)
+    assert sizes == {"a": 4000, "b": 4000} and len(searches) == 1
+    for c, values in data.items():
+        assert found[c] == {k: sorted(values)[k] for k in ranks(c, 4000)}
