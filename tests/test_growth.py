@@ -105,3 +105,22 @@ def test_the_teacher_frame_does_not_keep_the_source_splits(spark, monkeypatch):
     base = roles.stock(spark, "/root/testdata/sf0.001").filter("upgrade = 0").coalesce(1)
     teacher = transfer.Teacher.fit(base, [K.SQFT_COL, "TYPEHUQ"], ["bldg_id"], BoostSpec(max_iter=2, depth=2))
     assert len(files[0].inputFiles()) > 1 and teacher.metrics["n_holdout"] > 0
+
+
+def test_a_small_source_is_dealt_to_all_cores(spark):
+    df = roles.model_households(spark, "/root/testdata/sf0.01")
+    parts = df.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) >= spark.sparkContext.defaultParallelism // 2 and sum(r[1] for r in parts) == 60000
+
+
+def test_large_sources_are_not_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(session, "FILE_ROWS", 10)
+    df = spark.range(100 * spark.sparkContext.defaultParallelism)
+    assert session.spread(df) is df
+
+
+def test_leaf_sketches_are_not_sorted_by_group(spark):
+    from wattloom.models.conserving import _together
+    parts = _together([32] * 10 + [200, 5])
+    assert [i for p in parts for i in p] == list(range(12))
+    assert parts[:4] == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9]] and parts[4:] == [[10], [11]]
