@@ -387,6 +387,28 @@ def test_scoring_counts_all_words_and_pairs(make, rows, spark):
             assert [got["target_loss"], got["background_loss"]] == pytest.approx(want, rel=1e-9)
 
 
+def test_counts_are_packed_by_part(make, rows, spark, monkeypatch):
+    monkeypatch.setattr(modelscore, "PART_TOKENS", 300)
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(f"v{min(x, 4000)}" for x in rng.zipf(1.3, 300)), "en", "a") for i in range(60)] + [(90, "", "en", "a"), (91, "v1", "en", "a")]
+    good = set(range(0, 60, 3))
+    labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in rows(modelscore.scores(make(docs).repartition(5), labels))}
+    for (i, *_), want in zip(docs, plain_scores(docs, good)):
+        assert [out[i]["target_loss"], out[i]["background_loss"]] == (pytest.approx(want, rel=1e-9) if want else [None, None])
+
+
+def test_packed_keys_and_counts_come_back_smaller():
+    rng = np.random.default_rng(5)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 64, 400_000, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)]))
+    low, steps = modelscore._pack_keys(keys)
+    assert (modelscore._unpack_keys(low, steps, len(keys)) == keys).all() and len(low) + len(steps) < 6.5 * len(keys)
+    n = np.array([0, 1, 1, 255, 256, 70_000, 1 << 33])
+    assert (modelscore._unpack(modelscore._pack(n), len(n)) == n).all()
+    one = keys[-1:]
+    assert (modelscore._unpack_keys(*modelscore._pack_keys(one), 1) == one).all()
+
+
 # ---- repeats of words ------------------------------------------------------------
 
 def plain_word_removal(docs, n=repeats.WORDS):

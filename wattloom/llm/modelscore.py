@@ -9,9 +9,10 @@ like the target.
 
 Every word and every (previous, word) pair is counted, in tables that grow with the corpus. Documents are dealt into blocks
 while they are read: a block keeps its tokens as ids and the 64-bit hash of each word, so no text is shuffled. A word, context or pair is
-known to other blocks by a 64-bit key (two of 10^7 keys are equal with a probability of 10^-5). A block counts its keys, the counts of a key
-are summed over blocks (so that the commonest one has a row a block at most), and the sums go back to the blocks whose own counts
-they differ from, where documents are scored. No task and no driver holds a whole model.
+known to other blocks by a 64-bit key (two of 10^7 keys are equal with a probability of 10^-5). A block counts its keys and sends them,
+sorted and packed, to the parts of the key range; a part adds up the counts of its keys and tells each block, in the order of the
+block's keys, what other blocks counted. Documents are scored in their blocks. No task and no driver holds a whole model. A word is a context
+as often as it is a token, but for the texts that end with it, so it has one key, and these texts are counted beside it.
 
 Defined cases: a null or empty text has no tokens and null scores; labels that
 are null or lack a document are ignored, repeated labels count once; without target documents both
@@ -32,7 +33,6 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wattloom.llm.common import durable
 from wattloom.llm.simhash import SEED, word_blocks
@@ -44,7 +44,13 @@ BLOCK_TOKENS = 1_500_000
 #: The word before the first; no word has a blank.
 START = b" "
 #: What a key stands for, in its two lowest bits.
-TOKEN, CONTEXT, PAIR = 0, 1, 2
+TOKEN, PAIR = 0, 2
+#: Counts of a key: occurrences in target and all texts, and the target and all texts that end with the word.
+NUMBERS = ("t", "b", "et", "eb")
+#: Tokens of the corpus for each part of the keys, which is a power of two.
+PART_TOKENS = 1 << 21
+#: Bits of a sorted key that are kept as steps; the others are kept as they are.
+STEPS = 24
 
 
 def _good(labels: DataFrame, kind: str) -> DataFrame:
@@ -134,6 +140,7 @@ def _read(docs: pa.Table, good: pa.ChunkedArray) -> Block:
 
 # ---- blocks as rows --------------------------------------------------------------
 
+ZSTD = pa.Codec("zstd", compression_level=6)
 BLOCKS = "block long, place int, doc_id {kind}, n long, ids binary, words binary"
 
 
@@ -156,7 +163,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate(parts).astype("<i4")
         for at in range(0, len(tokens), 1 << 20):
             part = tokens[at:at + (1 << 20)]
-            yield rows(1, place=pa.array([at // (1 << 20)]), n=pa.array([len(part)]), ids=pa.array([pa.compress(part.tobytes(), codec="zstd", asbytes=True)]))
+            yield rows(1, place=pa.array([at // (1 << 20)]), n=pa.array([len(part)]), ids=pa.array([ZSTD.compress(part.tobytes(), asbytes=True)]))
         yield rows(1, words=pa.array([np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in ids), np.uint64, len(ids)).tobytes()]))
         ids, docs, parts, held, number = defaultdict(count(1).__next__, {START: 0}), [], [], 0, number + 1
 
@@ -179,7 +186,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _opened(table: pa.Table, marks: list[int]) -> tuple[Block, np.ndarray, pa.Table]:
-    """A block, the keys of its tokens, contexts and pairs, and its documents by place."""
+    """A block, the keys of its tokens and pairs, and its documents by place."""
     documents = table.filter(pc.and_(pc.is_null(table.column("ids")), pc.is_null(table.column("words")))).sort_by("place")
     parts = table.filter(pc.is_valid(table.column("ids"))).sort_by("place")
     words = np.frombuffer(table.filter(pc.is_valid(table.column("words"))).column("words")[0].as_buffer(), np.uint64)
@@ -189,31 +196,101 @@ def _opened(table: pa.Table, marks: list[int]) -> tuple[Block, np.ndarray, pa.Ta
     good[marks] = True
     block = Block.of(tokens, documents.column("n").to_pylist(), len(words), good)
     pair = _mixed(words[block.pairs >> 32] * np.uint64(0x9E3779B97F4A7C15) + words[block.pairs & 0xFFFFFFFF])
-    keys = [x & ~np.uint64(3) | np.uint64(k) for x, k in ((_mixed(words), TOKEN), (_mixed(words), CONTEXT), (pair, PAIR))]
-    return block, np.concatenate(keys).view(np.int64), documents
+    keys = [x & ~np.uint64(3) | np.uint64(k) for x, k in ((_mixed(words), TOKEN), (pair, PAIR))]
+    return block, np.concatenate(keys), documents
 
 
 def _all(block: Block) -> np.ndarray:
-    """Counts (target, all) of tokens, contexts and pairs, in the order of the keys."""
-    return np.concatenate([block.tokens, block.contexts, block.bigrams], axis=1)
+    """``NUMBERS`` of tokens and pairs, in the order of the keys; the start has the texts that are not empty."""
+    ends = block.tokens - block.contexts
+    ends[:, 0] = block.contexts[:, 0]
+    return np.concatenate([np.concatenate([block.tokens, ends]), np.concatenate([block.bigrams, np.zeros_like(block.bigrams)])], axis=1)
 
 
-def _counted(table: pa.Table, marks: pa.Table) -> pa.Table:
-    block, keys, _ = _opened(table, marks.column("mark").to_pylist())
-    n = _all(block)
-    seen = np.flatnonzero(n[1])
-    return pa.table({"block": np.full(len(seen), table.column("block")[0].as_py()), "key": keys[seen], "t": n[0, seen], "b": n[1, seen]})
+def _ranges(keys: np.ndarray, n: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the counted keys by key, and where each of 2 ** ``bits`` equal parts of the key range begins and ends."""
+    seen = np.flatnonzero(n.any(axis=0))
+    order = seen[np.argsort(keys[seen])]
+    begins = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.empty(0, np.uint64)
+    return order, np.concatenate([[0], np.searchsorted(keys[order], begins), [len(order)]])
 
 
-def _scored(sizes: tuple[int, int, int]):
+def _pack(n: np.ndarray) -> bytes:
+    """Numbers that are not negative, in as few bytes each as the largest needs."""
+    n = n.astype(np.min_scalar_type(int(n.max())))
+    return bytes([n.itemsize]) + ZSTD.compress(n.tobytes(), asbytes=True)
+
+
+def _unpack(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(ZSTD.decompress(data[1:], size * data[0], asbytes=True), f"<u{data[0]}").astype(np.int64)
+
+
+def _pack_keys(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys: the lower bytes, and steps of the upper ones."""
+    high = (keys >> np.uint64(64 - STEPS)).astype(np.int64)
+    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :8 - STEPS // 8].tobytes()
+    return low, high[0].astype("<i8").tobytes() + _pack(np.diff(high, prepend=high[0]))
+
+
+def _unpack_keys(low: bytes, steps: bytes, size: int) -> np.ndarray:
+    high = np.frombuffer(steps[:8], "<i8")[0] + np.cumsum(_unpack(steps[8:], size))
+    wide = np.zeros((size, 8), np.uint8)
+    wide[:, :8 - STEPS // 8] = np.frombuffer(low, np.uint8).reshape(size, -1)
+    return wide.view("<u8").ravel() | high.astype(np.uint64) << np.uint64(64 - STEPS)
+
+
+COUNTS = "block long, part long, n long, low binary, steps binary, t binary, b binary, et binary, eb binary"
+SUMS = "to long, part long, n long, t binary, b binary, et binary, eb binary"
+
+
+def _rows(columns: dict, schema: str) -> pa.Table:
+    types = {"long": pa.int64(), "binary": pa.binary()}
+    return pa.table({name: pa.array(columns[name], types[kind]) for name, kind in (c.split() for c in schema.split(", "))})
+
+
+def _counted(bits: int):
+    def run(table: pa.Table, marks: pa.Table) -> pa.Table:
+        block, keys, _ = _opened(table, marks.column("mark").to_pylist())
+        n = _all(block)
+        order, at = _ranges(keys, n, bits)
+        out: dict[str, list] = {c.split()[0]: [] for c in COUNTS.split(", ")}
+        for part in np.flatnonzero(np.diff(at)).tolist():
+            own = order[at[part]:at[part + 1]]
+            for name, x in zip(out, (table.column("block")[0].as_py(), part, len(own), *_pack_keys(keys[own]), *map(_pack, n[:, own]))):
+                out[name].append(x)
+        return _rows(out, COUNTS)
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """What other blocks counted of each block's keys in a part, for blocks that share any."""
+    rows = table.to_pylist()
+    sizes = [r["n"] for r in rows]
+    keys = np.concatenate([_unpack_keys(r["low"], r["steps"], r["n"]) for r in rows])
+    own = np.array([np.concatenate([_unpack(r[c], r["n"]) for r in rows]) for c in NUMBERS])
+    _, at = np.unique(keys, return_inverse=True)
+    others = np.array([np.bincount(at, n).astype(np.int64)[at] for n in own]) - own
+    out: dict[str, list] = {c.split()[0]: [] for c in SUMS.split(", ")}
+    for r, n in zip(rows, np.split(others, np.cumsum(sizes)[:-1], axis=1)):
+        if n.any():
+            for name, x in zip(out, (r["block"], r["part"], r["n"], *map(_pack, n))):
+                out[name].append(x)
+    return _rows(out, SUMS)
+
+
+def _scored(sizes: tuple[int, int, int], bits: int):
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
         mark = pc.is_valid(known.column("mark"))
         block, keys, documents = _opened(table, known.filter(mark).column("mark").to_pylist())
-        sums = known.filter(pc.invert(mark))
-        n, order = _all(block), np.argsort(keys)
-        at = order[np.searchsorted(keys, sums.column("key").to_numpy(), sorter=order)]
-        n[0, at], n[1, at] = sums.column("t").to_numpy(), sums.column("b").to_numpy()
-        block.tokens, block.contexts, block.bigrams = np.split(n, [block.size, 2 * block.size], axis=1)
+        n = _all(block)
+        order, at = _ranges(keys, n, bits)
+        for r in known.filter(pc.invert(mark)).select(["part", "n", *NUMBERS]).to_pylist():
+            own = order[at[r["part"]]:at[r["part"] + 1]]
+            for count, name in zip(n, NUMBERS):
+                count[own] += _unpack(r[name], r["n"])
+        (block.tokens, ends), block.bigrams = np.split(n[:, :block.size], 2), n[:2, block.size:]
+        block.contexts = block.tokens - ends
+        block.contexts[:, 0] = ends[:, 0]
         lengths = np.array(block.lengths, dtype=np.int64)
         each = block.losses(*sizes) / np.maximum(lengths, 1)
         c = [pa.array(x, pa.float64(), mask=lengths == 0) for x in (each[0], each[1], each[0] - each[1])]
@@ -272,9 +349,9 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = durable(documents.join(good.hint("merge"), "doc_id", "left_semi").select("to", "mark", "n"))
     words = blocks.filter("words is not null").select("words").mapInArrow(_hashes, "h long").distinct().count()
     sizes = (words, marks.agg(F.sum("n")).first()[0] or 0, documents.agg(F.sum("n")).first()[0] or 0)
-    counts = blocks.groupBy("block").cogroup(marks.groupBy("to")).applyInArrow(_counted, "block long, key long, t long, b long")
-    same = Window.partitionBy("key")
-    sums = counts.withColumns({"t": F.sum("t").over(same), "b": F.sum("b").over(same), "blocks": F.count(F.lit(1)).over(same)})
-    known = sums.filter("blocks > 1").select(F.col("block").alias("to"), "key", "t", "b").unionByName(marks.select("to", "mark"), allowMissingColumns=True)
+    bits = (sizes[2] // PART_TOKENS).bit_length()
+    counts = blocks.groupBy("block").cogroup(marks.groupBy("to")).applyInArrow(_counted(bits), COUNTS)
+    sums = counts.groupBy("part").applyInArrow(_summed, SUMS)
+    known = sums.unionByName(marks.select("to", "mark"), allowMissingColumns=True)
     return blocks.groupBy("block").cogroup(known.groupBy("to")).applyInArrow(
-        _scored(sizes), f"doc_id {kind}, tokens long, target_loss double, background_loss double, score double")
+        _scored(sizes, bits), f"doc_id {kind}, tokens long, target_loss double, background_loss double, score double")
