@@ -294,3 +294,21 @@ def test_attribution_adds_up_to_the_prediction(planted):
     start = base[0] * base[1] + math.sin(base[2]) * base[3]
     for r in model.transform(rows).collect():
         assert total[r.id] == pytest.approx(r.prediction - start)
+
+
+def test_a_booster_is_walked_by_paths_and_its_steps_are_not_scored(planted):
+    rows = planted.filter("id < 60")
+    model = booster("y", BoostSpec(max_iter=6, depth=4), weight=None).fit(planted.withColumn("y", F.expr("a * b + if(c > 0.4, d, -a) + sin(9 * b)")))
+    phi = attribution.shapley(model, rows.union(rows.filter("id < 2")), NAMES, ["id"], orders=3, background=5, reference=planted)
+    plan = phi._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate explode(sequence" not in plan
+    pool = attribution.background_rows(planted, ["id"], 5, 42)
+    scored = attribution._by_steps(model, rows.union(rows.filter("id < 2")), NAMES, ["id"], 3, 42, pool)
+    want, got = ({} for _ in range(2))
+    for out, df in ((want, scored), (got, phi)):
+        for r in df.collect():
+            out.setdefault((r.id, r.column), []).append(r.phi)
+    assert len(got) == 60 * 4 and sorted(got) == sorted(want) and sum(abs(v[0]) > 1e-3 for v in got.values()) > 60
+    for at, values in want.items():
+        assert len(values) == len(got[at]) == (2 if at[0] < 2 else 1)
+        assert got[at] == pytest.approx(values, abs=1e-9)
