@@ -409,6 +409,25 @@ def test_packed_keys_and_counts_come_back_smaller():
     assert (modelscore._unpack_keys(*modelscore._pack_keys(one), 1) == one).all()
 
 
+def test_repeats_leave_the_text_in_sight(make, rows):
+    passage = "".join(f"w{i}\u00e9 " for i in range(120))
+    short = " ".join(f"s{i}" for i in range(60))                 # over 50 words, below 400 bytes
+    docs = [(1, f"one \u00fc{passage}end of one", "en", "a"), (2, f"two {passage}", "en", "a"), (3, f"three {short}", "en", "a"),
+            (4, f"four {short}", "en", "a"), (5, None, "en", "a")]
+    out = {r["doc_id"]: r for r in rows(repeats.digest(make(docs)))}
+    assert out[1]["text"] == "one \u00fcend of one" and out[2]["text"] == "two " and out[5]["text"] == ""
+    assert out[3]["text"] == f"three {short}" and out[4]["text"] == f"four {short}"
+    for r in out.values():
+        assert hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"] and len(r["text"].encode()) == r["n_bytes"] - r["n_removed"]
+
+
+def test_keys_alone_are_those_of_the_units(monkeypatch):
+    text = np.random.default_rng(3).bytes(3000)
+    for block in (repeats.BLOCK, 300):
+        monkeypatch.setattr(repeats, "BLOCK", block)
+        assert repeats.unit_keys(text) == [u[0] for u in repeats.units(text)] and repeats.unit_keys(text[:399]) == []
+
+
 # ---- repeats of words ------------------------------------------------------------
 
 def plain_word_removal(docs, n=repeats.WORDS):
