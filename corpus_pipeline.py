@@ -7,32 +7,52 @@ again before the next one, so a lost executor costs a stage at most.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from wattloom.llm import common, mixing, nearcopies, packing, repeats, toxicity
 
+#: Bytes of rows that go to a Python worker, and so stand in it and in the executor's buffers, at once.
+BATCH_BYTES = 4 << 20
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def small_batches(stage: Stage) -> Stage:
+    """``stage`` with the session's batches to Python bounded by ``BATCH_BYTES``: by rows alone a task's whole text is one batch."""
+    @wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+    return bounded
+
+
+@small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain finds toxic go."""
     return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: linked by SimHash fingerprints, or alike in five-word shingles (0.8 or more)."""
     return nearcopies.keep_one(docs)
 
 
+@small_batches
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated strings of 50 words go."""
     return repeats.strip(docs, by_words=True)
 
 
+@small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document may come twice."""
     return mixing.mix(docs)
 
 
+@small_batches
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in the sequences."""
     return packing.pack(docs)

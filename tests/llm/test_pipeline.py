@@ -5,8 +5,11 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_text_operators import level_targets, plain_word_removal
+from wattloom.llm import packing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -138,3 +141,27 @@ def test_nothing_comes_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_a_worker_gets_little_text_at_once(spark, corpus, stage):
+    folder, docs, *_ = corpus
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    try:
+        stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        long = spark.range(0, 6000, 1, 1).select(F.expr("repeat('abcdefgh', 256)").alias("text"))
+        got = [x["n"] for x in long.mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(got) >= 6000 * 2048 and max(got) <= corpus_pipeline.BATCH_BYTES + 4096
+
+
+def test_the_exact_tokenizer_is_held_only_where_a_text_asks_for_it():
+    packing.exact_encoder.cache_clear()
+    packing.token_ids("one two")
+    assert not packing.exact_encoder.cache_info().currsize
+    packing.token_ids(f"one {packing.SPECIAL} two")
+    assert packing.exact_encoder.cache_info().currsize == 1

@@ -36,15 +36,22 @@ SLICE = 1 << 20
 
 
 @functools.cache
-def encoders(name: str = VOCABULARY):
-    """The tokenizer file's own encoder, and a faster one over the same vocabulary and pattern."""
+def exact_encoder(name: str = VOCABULARY):
+    """The tokenizer file's own encoder; a worker holds it only once a text asks for it."""
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
+
+@functools.cache
+def fast_encoder(name: str = VOCABULARY):
+    """A faster encoder over the same vocabulary and pattern."""
+    import public_tokenizers
+    import tiktoken
+
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(f"{name}.tiktoken"), "rb"))}
-    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json")), fast
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_ids(text: str) -> np.ndarray:
@@ -53,11 +60,10 @@ def token_ids(text: str) -> np.ndarray:
     Only a text that spells a special token is treated differently by the two
     encoders; such a text goes to ``tokenizers`` itself.
     """
-    exact, fast = encoders()
     if SPECIAL in text:
-        ids = exact.encode(text, add_special_tokens=False).ids
+        ids = exact_encoder().encode(text, add_special_tokens=False).ids
     else:
-        ids = fast.encode_ordinary(text)
+        ids = fast_encoder().encode_ordinary(text)
     out = np.empty(len(ids) + 1, dtype="<u4")
     out[:-1] = ids
     out[-1] = END_ID
