@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wattloom.functions import hash_uniform
 from wattloom.models import histograms
 from wattloom.models.histograms import cut_points, fields_of
+from wattloom.models.pinball import PinballBooster
 from wattloom.models.trees import BoostSpec, assemble, booster, fit_early_stopped, split_trees
 
 FEATURES = ["a", "b", "c"]
@@ -102,3 +103,19 @@ def test_fields_share_words_without_meeting():
         assert not any(word == w and shift < s + b and s < shift + bits for i, (w, s, b) in enumerate(fields) if i != j)
     assert max(f[0] for f in fields) < 4
     assert fields_of([2000, 2])[0] == (0, 0, 11)
+
+
+def test_pinball_in_one_task_is_that_of_the_jobs(spark, planted, monkeypatch):
+    spec = BoostSpec(max_iter=4, depth=3, min_gain=1e-5)
+    sc = spark.sparkContext
+    sc.setJobGroup("pinball-fit", "")
+    try:
+        one = PinballBooster.fit(planted, "y", 0.9, spec, "w")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("pinball-fit")) <= 12
+    monkeypatch.setattr(histograms, "ONE_BYTES", 0)
+    jobs = PinballBooster.fit(planted, "y", 0.9, spec, "w")
+    assert [t.numNodes for t in one.trees] == [t.numNodes for t in jobs.trees] and np.allclose(one.losses, jobs.losses, atol=1e-9)
+    pairs = jobs.transform(one.transform(planted, "p"), "q")
+    assert pairs.filter("abs(p - q) > 1e-9").count() == 0
