@@ -5,7 +5,8 @@ bits away from a query's own segment values; a code is verified once, in the fir
 round that reach it. After round r every code within m(r+1)-1 bits has been seen (m segments:
 some segment differs in r bits at most), so a query is done once its kth verified distance is
 within that. All rounds are DataFrame joins; codes shared by many rows are one entry, which holds
-its k+1 smallest ids, so hot codes cost nothing, and hot segment values are split as skewed joins.
+its k+1 smallest ids, so hot codes cost nothing, and hot segment values are split as skewed joins. All joins are merged: every side
+grows with the table, and a stored table of a few compressed MB would else be broadcast through the driver at many times that size.
 
 Defined cases: rows without a code (null vector, null component) neither ask nor are found; a row is no
 neighbour of itself, but its copies are; ties go to the smaller id, null ids last; fewer than k
@@ -96,18 +97,18 @@ def search(rows: DataFrame, asks: Column, k: int = NEAREST) -> DataFrame:
         first = F.lit(True)
         for i, f in enumerate(far):         # no segment nearer than r, none before this one as near
             first = first & F.when(F.col("seg") > i, f > r).otherwise(f >= r)
-        hits = (asked.join(index, ["seg", "value"]).filter(first).select("ask", "code", bits.alias("distance")))
-        found = hits.join(books, "code").select("ask", "distance", F.explode("ids").alias("id"))
+        hits = (asked.join(index.hint("merge"), ["seg", "value"]).filter(first).select("ask", "code", bits.alias("distance")))
+        found = hits.join(books.hint("merge"), "code").select("ask", "distance", F.explode("ids").alias("id"))
         best = durable(_nearest(found if best is None else best.unionByName(found), k + 1))
         bound = len(cut) * (r + 1) - 1
         state = best.groupBy("ask").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("last"))
         enough = (F.col("n") >= min(k + 1, total)) & ((F.col("last") <= bound) | (F.col("n") >= total))
-        open_ = durable(queries.join(state.filter(enough).select("ask"), "ask", "left_anti"))
+        open_ = durable(queries.join(state.filter(enough).select("ask").hint("merge"), "ask", "left_anti"))
         if open_.isEmpty():
             break
     asking = coded.filter("asks").select(F.col("id").alias("ask_id"), F.col("code").alias("ask")).distinct()
     own = F.row_number().over(Window.partitionBy("ask_id").orderBy((~F.col("me")).cast("int"), "distance", F.col("id").asc_nulls_last()))
-    pairs = asking.join(best, "ask").withColumn("me", F.col("id").eqNullSafe(F.col("ask_id")) & (F.col("distance") == 0))
+    pairs = asking.join(best.hint("merge"), "ask").withColumn("me", F.col("id").eqNullSafe(F.col("ask_id")) & (F.col("distance") == 0))
     pairs = pairs.withColumn("o", own).filter(~(F.col("me") & (F.col("o") == 1)))
     rank = F.row_number().over(Window.partitionBy("ask_id").orderBy("distance", F.col("id").asc_nulls_last()))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("ask_id", "rank", "id", F.col("distance").cast("int").alias("distance"))
